@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, token_output
 from .common import table
 
 
+#: Tokenizer file of op9; a caller's own path goes to token_output directly.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality_rules.op1_quality_rules(table(spark, d, "documents")),
+        "op9_token_output": lambda spark, d: token_output.op9_token_output(spark, table(spark, d, "documents"), tokenizer_path()),
     }
 
 
