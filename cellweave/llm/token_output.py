@@ -30,8 +30,8 @@ from .common import body, new_path, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 65_536
-#: Pieces a worker remembers; beyond it, the memory starts anew.
-CACHE_PIECES = 400_000
+#: Pieces a worker remembers (about 200 bytes each); beyond it, the memory starts anew.
+CACHE_PIECES = 1_500_000
 #: Longer pieces are encoded without being remembered.
 CACHE_CHARS = 60
 
@@ -107,29 +107,30 @@ class Encoder:
         """Each text's ids as little-endian 32-bit bytes."""
         if not self.cuts:
             return self._encode(texts)
-        known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        pieces = [
-            None if any(a in t for a in self.added) else self._cut.split(t) if self._blank_run.search(t) else t.split(" ")
-            for t in texts
-        ]
-        # Remembered pieces stand after a blank; a first piece has none and is encoded each time.
-        missing: set[str] = set()
-        for p in pieces:
-            if p is not None:
-                missing.update(p[1:])
-        missing.difference_update(known)
-        new = list(missing)
-        fresh = dict(zip(new, self._encode([" " + x for x in new]), strict=True))
-        heads = self._encode([t if p is None else p[0] for t, p in zip(texts, pieces, strict=True)])
-        if len(fresh) <= CACHE_PIECES:
-            known.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
-            long = {k: v for k, v in fresh.items() if len(k) > CACHE_CHARS}
-        else:
-            long = fresh
-        get = known.__getitem__ if not long else lambda k: known[k] if k in known else long[k]
-        return [h if p is None else b"".join([h, *map(get, p[1:])]) for h, p in zip(heads, pieces, strict=True)]
+        flat: list[str] = []
+        heads, cuts = [], [0]
+        for t in texts:
+            if any(a in t for a in self.added):
+                heads.append(t)
+            else:
+                # A first piece has no blank before it, so it is encoded each time.
+                first, *rest = self._cut.split(t) if self._blank_run.search(t) else t.split(" ")
+                heads.append(first)
+                flat += rest
+            cuts.append(len(flat))
+        values = self._looked_up(flat)
+        return [b"".join([h, *values[a:z]]) for h, a, z in zip(self._encode(heads), cuts, cuts[1:], strict=False)]
+
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        values = list(map(self.known.get, pieces))
+        new = list({k for k, v in zip(pieces, values, strict=True) if v is None})
+        if new:
+            fresh = dict(zip(new, self._encode([" " + x for x in new]), strict=True))
+            values = [fresh[k] if v is None else v for k, v in zip(pieces, values, strict=True)]
+            self.known.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
+        return values
 
 
 def encoder(path: str) -> Encoder:
