@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, token_output
+from . import mixing, quality_rules, token_output
 from .common import table
 
 
@@ -19,9 +19,10 @@ def tokenizer_path() -> str:
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality_rules.op1_quality_rules(table(spark, d, "documents")),
+        "op8_mixing": lambda spark, d: mixing.op8_mixing(table(spark, d, "documents")),
         "op9_token_output": lambda spark, d: token_output.op9_token_output(spark, table(spark, d, "documents"), tokenizer_path()),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL}
