@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, token_output
+from . import decontamination, mixing, near_dedup, quality_rules, token_output
 from .common import table
 
 
@@ -19,6 +19,7 @@ def tokenizer_path() -> str:
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality_rules.op1_quality_rules(table(spark, d, "documents")),
+        "op5_near_dedup": lambda spark, d: near_dedup.op5_near_dedup(spark, table(spark, d, "documents")),
         "op7_decontamination": lambda spark, d: decontamination.op7_decontamination(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op8_mixing": lambda spark, d: mixing.op8_mixing(table(spark, d, "documents")),
         "op9_token_output": lambda spark, d: token_output.op9_token_output(spark, table(spark, d, "documents"), tokenizer_path()),
