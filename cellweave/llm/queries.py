@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, mixing, near_dedup, quality_rules, token_output
+from . import decontamination, html_text, language_id, mixing, near_dedup, quality_rules, token_output
 from .common import table
 
 
@@ -19,6 +19,7 @@ def tokenizer_path() -> str:
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality_rules.op1_quality_rules(table(spark, d, "documents")),
+        "op2_language_id": lambda spark, d: language_id.op2_language_id(spark, table(spark, d, "documents")),
         "op4_html_text": lambda spark, d: html_text.op4_html_text(table(spark, d, "pages")),
         "op5_near_dedup": lambda spark, d: near_dedup.op5_near_dedup(spark, table(spark, d, "documents")),
         "op7_decontamination": lambda spark, d: decontamination.op7_decontamination(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
