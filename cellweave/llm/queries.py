@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, mixing, near_dedup, quality_rules, token_output
+from . import decontamination, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, token_output
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op2_language_id": lambda spark, d: language_id.op2_language_id(spark, table(spark, d, "documents")),
         "op4_html_text": lambda spark, d: html_text.op4_html_text(table(spark, d, "pages")),
         "op5_near_dedup": lambda spark, d: near_dedup.op5_near_dedup(spark, table(spark, d, "documents")),
+        "op6_quality_model": lambda spark, d: quality_model.op6_quality_model(spark, table(spark, d, "documents"), table(spark, d, "labels")),
         "op7_decontamination": lambda spark, d: decontamination.op7_decontamination(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op8_mixing": lambda spark, d: mixing.op8_mixing(table(spark, d, "documents")),
         "op9_token_output": lambda spark, d: token_output.op9_token_output(spark, table(spark, d, "documents"), tokenizer_path()),
