@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, token_output
+from . import decontamination, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality_rules.op1_quality_rules(table(spark, d, "documents")),
         "op2_language_id": lambda spark, d: language_id.op2_language_id(spark, table(spark, d, "documents")),
+        "op3_toxicity": lambda spark, d: toxicity.op3_toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_html_text": lambda spark, d: html_text.op4_html_text(table(spark, d, "pages")),
         "op5_near_dedup": lambda spark, d: near_dedup.op5_near_dedup(spark, table(spark, d, "documents")),
         "op6_quality_model": lambda spark, d: quality_model.op6_quality_model(spark, table(spark, d, "documents"), table(spark, d, "labels")),
