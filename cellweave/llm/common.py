@@ -91,3 +91,26 @@ def worker_cache() -> dict:
         sys.modules[name] = types.ModuleType(name)
         sys.modules[name].kept = {}
     return sys.modules[name].kept
+
+
+#: Bits of the filter in `likely`, 2 MB.
+FILTER_BITS = 1 << 24
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is in `wanted`, and a few more by chance.
+
+    A hash filter of FILTER_BITS bits in all, broadcast as 512 bitmaps of 4 KB whatever
+    the number of keys; it spares a later exact join the shuffle of most other rows.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = (
+        wanted.select(place.alias("p"))
+        .groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_map"))
+    )
+    at = rows.withColumn("_p", place)
+    at = at.withColumn("_bucket", F.expr("bitmap_bucket_number(_p)")).withColumn("_bit", F.expr("bitmap_bit_position(_p)"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
+    return at.join(F.broadcast(bits), "_bucket").filter(held).select(*rows.columns)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, stored
+from .common import body, likely, stored
 from .tokens import mixed, powers, windows, word_hashes
 
 WORDS = 5
@@ -53,8 +53,6 @@ MOST_ROUNDS = 4
 CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 4_000
 #: Members that one copy of a leader's text serves in the verification join.
 SALT_ROWS = 256
-#: Bits of the filter that keeps texts without any bucket out of that join: 2 MB at most.
-FILTER_BITS = 1 << 24
 
 _rng = np.random.Generator(np.random.PCG64(20240707))
 _R = _rng.gamma(2.0, 1.0, 1 << TABLE_BITS).astype(np.float32)
@@ -212,18 +210,6 @@ def _verified(pairs: DataFrame, idf, threshold: float) -> DataFrame:
     return pairs.mapInArrow(each, "a binary, b binary, linked boolean")
 
 
-def _likely(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of `texts` whose key is in `keys`, and a few more: a filter that is
-    broadcast as 512 bitmaps of 4 KB, whatever the number of keys."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = keys.select(place("key").alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_map"))
-    at = texts.withColumn("_p", place("key"))
-    at = at.withColumn("_bucket", F.expr("bitmap_bucket_number(_p)")).withColumn("_bit", F.expr("bitmap_bit_position(_p)"))
-    near = at.join(F.broadcast(bits), "_bucket")
-    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return near.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).select(*texts.columns)
-
-
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b) of pairs (a, b, n): b is a leader, whose text is copied
     once for each SALT_ROWS members of its buckets, so no task gets all of a group."""
@@ -247,7 +233,7 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = stored(members.join(sizes, "band"), "near-members")
     scores = members.groupBy("key").agg(F.sum("n").alias("score"))
     members = stored(members.join(scores, "key"), "near-scored")
-    wanted = stored(_likely(texts, scores.select("key")).dropDuplicates(["key"]), "near-texts")
+    wanted = stored(likely(texts, scores.select("key"), "key").dropDuplicates(["key"]), "near-texts")
     tested = None
     for _ in range(MOST_ROUNDS):
         best = members.groupBy("band").agg(F.max(F.struct("score", "key")).alias("best"), F.count("*").alias("_left"))

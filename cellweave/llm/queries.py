@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
+from . import decontamination, html_text, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
 from .common import table
 
 
@@ -19,6 +19,7 @@ def tokenizer_path() -> str:
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda spark, d: quality_rules.op1_quality_rules(table(spark, d, "documents")),
+        "op10_line_dedup": lambda spark, d: line_dedup.op10_line_dedup(spark, table(spark, d, "documents")),
         "op2_language_id": lambda spark, d: language_id.op2_language_id(spark, table(spark, d, "documents")),
         "op3_toxicity": lambda spark, d: toxicity.op3_toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_html_text": lambda spark, d: html_text.op4_html_text(table(spark, d, "pages")),
@@ -31,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op7_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op7_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
