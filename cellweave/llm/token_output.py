@@ -31,7 +31,7 @@ from .common import body, new_path, worker_cache
 END_ID = 2
 BLOCK_IDS = 65_536
 #: Pieces a worker remembers (about 200 bytes each); beyond it, the memory starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_200_000
 #: Longer pieces are encoded without being remembered.
 CACHE_CHARS = 60
 
@@ -97,7 +97,10 @@ class Encoder:
             and before.get("use_regex", True)
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        plain = [t for t in spec.get("added_tokens", []) if not (t["single_word"] or t["lstrip"] or t["rstrip"])]
+        self.between = (plain[0]["content"], plain[0]["id"]) if plain else None
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True)) if self.cuts else {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,13 +128,39 @@ class Encoder:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         values = list(map(self.known.get, pieces))
-        new = list({k for k, v in zip(pieces, values, strict=True) if v is None})
+        new = {k for k, v in zip(pieces, values, strict=True) if v is None}
         if new:
-            fresh = dict(zip(new, self._encode([" " + x for x in new]), strict=True))
+            fresh = self._fresh(new)
             values = [fresh[k] if v is None else v for k, v in zip(pieces, values, strict=True)]
             self.known.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
         return values
 
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Values of pieces that are not remembered. Letters followed by one comma or
+        stop are two tokens of the pattern, so that mark is encoded apart; letters
+        stand here for those below U+0250, on which all Unicode versions agree."""
+        marked = {p for p in new if p[-1:] in self.marks and p[:-1].isalpha() and max(p) < "\u0250"}
+        whole = new - marked
+        whole.update(b for p in marked if (b := p[:-1]) not in self.known)
+        names = list(whole)
+        fresh = dict(zip(names, self._encode_pieces([" " + x for x in names]), strict=True))
+        for p in marked:
+            fresh[p] = (fresh.get(p[:-1]) or self.known[p[:-1]]) + self.marks[p[-1]]
+        return fresh
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """As _encode; many pieces go in one text, with an added token between them,
+        at which the library always cuts."""
+        if self.between is None:
+            return self._encode(pieces)
+        string, number = self.between
+        out = []
+        for k in range(0, len(pieces), 4_000):
+            ids = np.array(self.tokenizer.encode_batch_fast([string.join(pieces[k : k + 4_000])], add_special_tokens=False)[0].ids, dtype="<u4")
+            held, ends = ids.tobytes(), (np.flatnonzero(ids == number) * 4).tolist()
+            out += [held[a:z] for a, z in zip([0, *(e + 4 for e in ends)], [*ends, len(held)], strict=True)]
+        return out
+
 
 def encoder(path: str) -> Encoder:
     kept = worker_cache()
@@ -218,10 +247,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Only the shards' totals, a row for each writing task, are summed in one place.
     """
     blocks = spark.read.schema(STORE).parquet(path)
+    # A row for each writing task, tens of bytes: always small enough to broadcast.
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("_before"))
-    return blocks.join(totals, "shard").withColumn("start", F.col("_before") + F.col("shard_start")).drop("_before")
+    return blocks.join(F.broadcast(totals), "shard").withColumn("start", F.col("_before") + F.col("shard_start")).drop("_before")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
