@@ -1,0 +1 @@
+"""DataFrame-to-DataFrame building blocks."""

@@ -1,0 +1 @@
+"""Whole analyses composed of the operators."""

@@ -1,0 +1 @@
+"""Readers and writers of interval and count formats."""
