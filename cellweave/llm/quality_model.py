@@ -2,7 +2,7 @@
 
 Statistics are computed once for each whole text and depend on nothing else. The trees
 are fitted on the driver on about FIT_ROWS labelled rows (a documented bound; rows are
-chosen by a hash of the text), whose statistics, not texts, are gathered. They are
+chosen by a hash of the id), whose statistics, not texts, are gathered. They are
 then flat arrays, broadcast (some 100 KB) and walked with numpy.
 
 Null texts count as empty and are scored like any other. Of several labels for one id
@@ -58,20 +58,19 @@ def _features(texts: pa.Array) -> np.ndarray:
     return np.array([statistics(t.as_py() or "") for t in texts], np.float64).reshape(-1, len(FEATURES))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """(y, text) of the rows that may be learnt from: their id's crc32 mod 5 is not 0."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = FIT_ROWS) -> DataFrame:
+    """(y, text) of about `most` rows that may be learnt from (their id's crc32 mod 5 is
+    not 0), chosen by a hash of the id; all where there are fewer. The chosen ids, a
+    few bytes each and `most` in number, are broadcast, so no text is shuffled."""
     one = labels.filter(F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(column).cast("int").alias("y"))
+    one = one.filter(F.col("_id").isNotNull() & (fold(F.col("_id"), 5) != 0))
+    share = int(min(1.0, most / max(one.count(), 1)) * (1 << 30))
+    one = one.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    return rows.filter(fold(F.col("_id"), 5) != 0).join(one, "_id").select("y", "text")
+    return rows.join(F.broadcast(one), "_id").select("y", "text")
 
 
-def some(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` rows, chosen by a hash of the text; all where there are fewer."""
-    share = int(min(1.0, most / max(rows.count(), 1)) * (1 << 30))
-    return rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)
-
-
-def learn(rows: DataFrame, most: int = FIT_ROWS) -> Trees:
+def learn(rows: DataFrame) -> Trees:
     """Trees from (y, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +78,7 @@ def learn(rows: DataFrame, most: int = FIT_ROWS) -> Trees:
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * len(FEATURES), len(FEATURES), dtype=np.int32)), pa.array(_features(b.column(1)).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), values], names=["y", "x"])
 
-    found = some(rows, most).mapInArrow(each, "y int, x array<double>").toPandas()
+    found = rows.mapInArrow(each, "y int, x array<double>").toPandas()
     if not len(found):
         return Trees(n_trees=0)
     # Order does not depend on the partitions, so a rerun grows the same trees.

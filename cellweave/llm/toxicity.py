@@ -2,8 +2,8 @@
 
 1. Lexicon. From labelled rows, words and word beginnings that stand in toxic
    texts far more often than in others. A first pass counts candidates over the
-   toxic rows, a second counts those few candidates over the others; both count
-   every labelled row and gather only counts. LEXICON terms at most are kept.
+   toxic rows, a second counts those few candidates over the others, and only counts
+   are gathered. LEXICON terms at most are kept.
 2. Automaton. The trie of the terms, where words of FUZZY_CHARS letters or more allow
    one edit and beginnings accept any ending, is intersected with the
    Levenshtein automaton by subset construction into one table of states and
@@ -12,7 +12,8 @@
    inside quotation marks, or after a word of saying, the hit counts as quoted.
    The words of saying are a fixed list of four languages.
 4. Score. Logistic regression over abusive, quoted and misspelled hits and their
-   density, fitted on about FIT_ROWS labelled rows (a documented bound).
+   density. It and the lexicon are fitted on about FIT_ROWS labelled rows (a
+   documented bound), chosen by a hash of the id.
 
 Null and empty texts are scored like texts without hits. Of several labels for one
 id the least counts. Without toxic learning rows the lexicon is empty and scores are
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, stored
-from .quality_model import labelled, some
+from .quality_model import labelled
 
 LEXICON = 300
 CANDIDATES = 20_000
@@ -304,7 +305,7 @@ def learn(rows: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], names=["y", *FEATURES])
 
     schema = ", ".join(["y int", *[f"{f} double" for f in FEATURES]])
-    fit = some(rows, FIT_ROWS).mapInArrow(each, schema).toPandas().sort_values(["y", *FEATURES])
+    fit = rows.mapInArrow(each, schema).toPandas().sort_values(["y", *FEATURES])
     weights = logistic(fit[list(FEATURES)].to_numpy(), fit["y"].to_numpy(float))
     return Model(lex, terms, weights)
 
@@ -323,5 +324,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = predict(docs, learn(labelled(docs, labels, "toxic")))
+    found = predict(docs, learn(labelled(docs, labels, "toxic", FIT_ROWS)))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
