@@ -17,12 +17,12 @@ BLOCK_IDS ids, so memory is bounded by that or by the longest single document.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +30,8 @@ from .common import body, new_path, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 65_536
-#: Pieces a worker remembers (about 200 bytes each); beyond it, the memory starts anew.
-CACHE_PIECES = 1_200_000
-#: Longer pieces are encoded without being remembered.
-CACHE_CHARS = 60
+#: Pieces a worker remembers at most.
+CACHE_PIECES = 2_500_000
 
 STORE = (
     "shard int, block long, shard_start long, first_doc_id long, last_doc_id long, n_docs int, n_ids long, width int, "
@@ -72,11 +70,11 @@ class Encoder:
     non-blank follows to what precedes it, so a text may be cut before each such
     blank and the pieces encoded apart: the ids are the same, and pieces that
     came before need no second encoding. Other tokenizers, and texts that hold
-    an added token's string, are encoded whole.
+    an added token's string or a blank before white space, are encoded whole.
     """
 
-    _blank_run = re.compile(r" (?!\S)")
-    _cut = re.compile(r" (?=\S)")
+    #: A blank before white space (of any Unicode version) or at the end.
+    _blank_run = r" ([\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]|$)"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -97,68 +95,93 @@ class Encoder:
             and before.get("use_regex", True)
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        plain = [t for t in spec.get("added_tokens", []) if not (t["single_word"] or t["lstrip"] or t["rstrip"])]
-        self.between = (plain[0]["content"], plain[0]["id"]) if plain else None
-        self.known: dict[str, bytes] = {}
+        #: Bytes of each id's token: byte-level strings have one character for each.
+        self.lengths = np.zeros(self.vocabulary, np.int64)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.lengths[number] = len(token)
+        self.known, self.values = pa.array([], pa.string()), pa.array([], pa.binary())
         self.marks = dict(zip(",.", self._encode([",", "."]), strict=True)) if self.cuts else {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit bytes."""
-        if not self.cuts:
-            return self._encode(texts)
-        flat: list[str] = []
-        heads, cuts = [], [0]
-        for t in texts:
-            if any(a in t for a in self.added):
-                heads.append(t)
-            else:
-                # A first piece has no blank before it, so it is encoded each time.
-                first, *rest = self._cut.split(t) if self._blank_run.search(t) else t.split(" ")
-                heads.append(first)
-                flat += rest
-            cuts.append(len(flat))
-        values = self._looked_up(flat)
-        return [b"".join([h, *values[a:z]]) for h, a, z in zip(self._encode(heads), cuts, cuts[1:], strict=False)]
-
-    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit bytes; no nulls."""
+        apart = pc.match_substring_regex(texts, self._blank_run)
+        for string in self.added:
+            apart = pc.or_(apart, pc.match_substring(texts, string))
+        apart = apart.to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        out: list[bytes] = [b""] * len(texts)
+        if apart.any():
+            rows = np.flatnonzero(apart)
+            for k, x in zip(rows.tolist(), self._encode(texts.take(pa.array(rows)).to_pylist()), strict=True):
+                out[k] = x
+        if not apart.all():
+            rows = np.flatnonzero(~apart)
+            for k, x in zip(rows.tolist(), self._cut(texts.take(pa.array(rows)) if apart.any() else texts), strict=True):
+                out[k] = x
+        return out
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """Cuts at every blank, looks each distinct piece up once, and lays the ids out
+        by Arrow's take, whose data buffer is their concatenation."""
+        lists = pc.split_pattern(texts, " ")
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        cuts -= cuts[0]
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = self._looked_up(coded.dictionary)
+        # A first piece has no blank before it, so it is encoded each time.
+        heads = cuts[:-1]
+        first = self._encode(coded.dictionary.take(pa.array(at[heads])).to_pylist())
+        at[heads] = len(values) + np.arange(len(heads))
+        laid = pa.concat_arrays([values, pa.array(first, pa.binary())]).take(pa.array(at))
+        ends = np.frombuffer(laid.buffers()[1], np.int32, len(laid) + 1)[cuts].tolist()
+        data = laid.buffers()[2].to_pybytes() if laid.buffers()[2] else b""
+        return [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+
+    def _looked_up(self, pieces: pa.StringArray) -> pa.BinaryArray:
+        """Values of distinct pieces that stand after a blank. What is remembered lies in
+        two Arrow arrays, some 40 bytes a piece; the oldest half goes when they are full."""
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        values = list(map(self.known.get, pieces))
-        new = {k for k, v in zip(pieces, values, strict=True) if v is None}
-        if new:
-            fresh = self._fresh(new)
-            values = [fresh[k] if v is None else v for k, v in zip(pieces, values, strict=True)]
-            self.known.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
-        return values
-
-    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+            half = len(self.known) // 2
+            self.known, self.values = pa.concat_arrays([self.known.slice(half)]), pa.concat_arrays([self.values.slice(half)])
+        at = pc.index_in(pieces, value_set=self.known)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if missing.any():
+            new = pieces.filter(pa.array(missing))
+            at[missing] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.values = pa.concat_arrays([self.values, pa.array(self._fresh(new.to_pylist()), pa.binary())])
+        return self.values.take(pa.array(at))
+
+    def _fresh(self, new: list[str]) -> list[bytes]:
         """Values of pieces that are not remembered. Letters followed by one comma or
         stop are two tokens of the pattern, so that mark is encoded apart; letters
         stand here for those below U+0250, on which all Unicode versions agree."""
-        marked = {p for p in new if p[-1:] in self.marks and p[:-1].isalpha() and max(p) < "\u0250"}
-        whole = new - marked
-        whole.update(b for p in marked if (b := p[:-1]) not in self.known)
-        names = list(whole)
-        fresh = dict(zip(names, self._encode_pieces([" " + x for x in names]), strict=True))
-        for p in marked:
-            fresh[p] = (fresh.get(p[:-1]) or self.known[p[:-1]]) + self.marks[p[-1]]
-        return fresh
+        bases = [p[:-1] if p[-1:] in self.marks and p[:-1].isalpha() and max(p) < "\u0250" else p for p in new]
+        names = list(dict.fromkeys(bases))
+        found = dict(zip(names, self._encode_pieces(names), strict=True))
+        return [found[b] if b is p else found[b] + self.marks[p[-1]] for p, b in zip(new, bases, strict=True)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """As _encode; many pieces go in one text, with an added token between them,
-        at which the library always cuts."""
-        if self.between is None:
-            return self._encode(pieces)
-        string, number = self.between
+        """Values of pieces, each after a blank. They go as one text, which the library
+        cuts at each blank itself; as a byte-level token is as long as its string,
+        running byte lengths tell which ids are whose."""
         out = []
-        for k in range(0, len(pieces), 4_000):
-            ids = np.array(self.tokenizer.encode_batch_fast([string.join(pieces[k : k + 4_000])], add_special_tokens=False)[0].ids, dtype="<u4")
-            held, ends = ids.tobytes(), (np.flatnonzero(ids == number) * 4).tolist()
-            out += [held[a:z] for a, z in zip([0, *(e + 4 for e in ends)], [*ends, len(held)], strict=True)]
+        for k in range(0, len(pieces), 500):
+            part = [" " + p for p in pieces[k : k + 500]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(p.encode()) for p in part])
+            upto = np.cumsum(self.lengths[ids])
+            last = np.searchsorted(upto, ends)
+            if len(upto) and last[-1] < len(upto) and (upto[last] == ends).all():
+                held, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+                out += [held[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+            else:  # a tokenizer that cuts elsewhere
+                out += self._encode(part)
         return out
 
 
@@ -172,22 +195,19 @@ def encoder(path: str) -> Encoder:
     return kept["encoder", path]
 
 
-#: Characters that a worker encodes at once.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that a worker encodes at once.
+CHUNK_BYTES = 8_000_000
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        t = t.as_py()
-        ids.append(i)
-        texts.append(t)
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+    texts = batch.column(1)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")))
+        yield batch.column(0).slice(at, end - at).to_pylist(), texts.slice(at, end - at)
+        at = end
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
