@@ -35,18 +35,13 @@ from .common import body, let, likely, stored, words
 EDITS = 1
 NEAR_WORDS = 10
 LAST = (1 << 63) - 1
-CHANGED, LESS, WHOLE = 0, 1, 2
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), w (its words), key of each line with a word."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(body(), "\n")).alias("line_no", "line"))
-    found = found.withColumn("w", words(F.col("line"))).filter(F.size("w") > 0)
-    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "w", _key(F.col("w")).alias("key"))
-
-
-def _key(w: Column) -> Column:
-    return F.unhex(F.md5(F.concat_ws(" ", w)))
+    found = found.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), words(F.col("line")).alias("w"))
+    return found.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", "w"))))
 
 
 def _halves(w: Column) -> Column:
@@ -65,27 +60,33 @@ def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
 
-def neighbourhood(w: Column) -> Column:
-    """The line's keys as structs (k, kind): CHANGED with a word's place, LESS without
-    the word, WHOLE with all words. LESS and WHOLE combine 36-bit hashes by addition,
-    so that a word that comes twice does not cancel out, and cannot overflow."""
+def changed_keys(w: Column) -> Column:
+    """For each word the key of its place and the line without it."""
     n = F.size(w)
-    struct = lambda k, kind: F.struct(k.alias("k"), F.lit(kind).alias("kind"))
-    changed = let(
+    return let(
         F.transform(w, lambda x, i: F.xxhash64(i, x)),
-        lambda h: let(_xor(h), lambda t: F.transform(h, lambda x, i: struct(F.xxhash64(F.lit("changed"), n, i, t.bitwiseXOR(x)), CHANGED))),
-    )
-    less = let(
-        F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 36))),
-        lambda h: let(
-            F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x),
-            lambda t: F.concat(
-                F.array_distinct(F.transform(h, lambda x: struct(F.xxhash64(F.lit("less"), n - 1, t - x), LESS))),
-                F.array(struct(F.xxhash64(F.lit("less"), n, t), WHOLE)),
-            ),
-        ),
+        lambda h: let(_xor(h), lambda t: F.transform(h, lambda x, i: F.xxhash64(F.lit("changed"), n, i, t.bitwiseXOR(x)))),
     )
-    return F.concat(changed, less)
+
+
+def _bag(w: Column) -> Column:
+    """36-bit word hashes, to be added: a word that comes twice does not cancel out, and
+    sums cannot overflow."""
+    return F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 36)))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def less_keys(w: Column) -> Column:
+    """For each different word the key of the line without it, whatever its place."""
+    return let(_bag(w), lambda h: let(_sum(h), lambda t: F.array_distinct(F.transform(h, lambda x: F.xxhash64(F.lit("less"), F.size(w) - 1, t - x)))))
+
+
+def whole_key(w: Column) -> Column:
+    """What less_keys of a line with one word more can equal."""
+    return F.xxhash64(F.lit("less"), F.size(w), _sum(_bag(w)))
 
 
 def is_neighbour(a: Column, b: Column) -> Column:
@@ -99,33 +100,39 @@ def is_neighbour(a: Column, b: Column) -> Column:
 
 
 def distinct_lines(found: DataFrame) -> DataFrame:
-    """key, first (place of the earliest such line), copies, halves."""
+    """key, first (place of the earliest such line), copies, halves; found: (doc_id,
+    line_no, key, halves)."""
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("line_no"))
-    rows = found.select("key", place.alias("place"), _halves(F.col("w")).alias("halves"))
+    rows = found.withColumn("place", place)
     return rows.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
 
 
-def near_lines(found: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """key, near (place of the earliest line at distance 1, if earlier than the line's own)."""
     halves = distinct.select("key", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1")
-    left = stored(halves.join(shared, "half", "left_semi").select("key").distinct(), "lines-left")
-    texts = likely(found.select("key", "w"), left, "key").join(left, "key", "left_semi").dropDuplicates(["key"])
-    texts = stored(texts.join(distinct.select("key", "first"), "key"), "lines-texts")
-    keys = texts.select("key", "first", F.explode(neighbourhood(F.col("w"))).alias("x")).select("key", "first", "x.*")
-    best = keys.filter(F.col("kind") == CHANGED).groupBy("k").agg(F.min(F.struct("first", "key")).alias("b"), F.count("*").alias("n"))
+    left = halves.join(shared, "half", "left_semi").select("key").distinct()
+    left = stored(left.join(distinct.select("key", "first"), "key"), "lines-left")
+    # The words are read again, only from the documents in which such a line stands first.
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    there = likely(docs.select("doc_id", "text").withColumn("_at", own), left.select(F.col("first.doc_id").alias("_at")), "_at")
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("line_no"))
+    texts = lines(there).select("key", place.alias("first"), "w").join(left, ["key", "first"]).dropDuplicates(["key"])
+    texts = stored(texts, "lines-texts")
+    keys = texts.select("key", "first", F.explode(changed_keys(F.col("w"))).alias("k"))
+    best = keys.groupBy("k").agg(F.min(F.struct("first", "key")).alias("b"), F.count("*").alias("n"))
     best = stored(best.filter("n > 1").select("k", "b"), "lines-best")
-    changed = likely(keys.filter(F.col("kind") == CHANGED).select("k", "key"), best, "k").join(best, "k")
+    changed = likely(keys.select("k", "key"), best, "k").join(best, "k")
     changed = changed.select("key", F.col("b.key").alias("other"), F.col("b.first").alias("near")).filter("key <> other").distinct()
-    whole = keys.filter(F.col("kind") == WHOLE).select("k", F.col("key").alias("w_key"), F.col("first").alias("w_first"))
-    less = likely(keys.filter(F.col("kind") == LESS).select("k", "key", "first"), whole, "k").join(whole, "k").filter("key <> w_key")
+    whole = texts.select(whole_key(F.col("w")).alias("k"), F.col("key").alias("w_key"), F.col("first").alias("w_first"))
+    less = likely(texts.select("key", "first", F.explode(less_keys(F.col("w"))).alias("k")), whole, "k").join(whole, "k").filter("key <> w_key")
     later = F.col("first") > F.col("w_first")
     less = less.select(
         F.when(later, F.col("key")).otherwise(F.col("w_key")).alias("key"),
         F.when(later, F.col("w_key")).otherwise(F.col("key")).alias("other"),
         F.least("first", "w_first").alias("near"),
     )
-    pairs = changed.unionByName(less)
+    pairs = stored(changed.unionByName(less), "lines-pairs")
     pairs = pairs.join(texts.select("key", F.col("w").alias("a")), "key").join(texts.select(F.col("key").alias("other"), F.col("w").alias("b")), "other")
     longer = F.size("a") >= F.size("b")
     true = is_neighbour(F.when(longer, F.col("a")).otherwise(F.col("b")), F.when(longer, F.col("b")).otherwise(F.col("a")))
@@ -135,9 +142,9 @@ def near_lines(found: DataFrame, distinct: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, distance, kept of each line: the
     earliest line that is equal (distance 0) or near (1); itself if there is none."""
-    found = lines(docs)
+    found = stored(lines(docs).select("doc_id", "line_no", "key", _halves(F.col("w")).alias("halves")), "lines-found")
     distinct = stored(distinct_lines(found), "lines-distinct")
-    near = near_lines(found, distinct)
+    near = near_lines(docs, distinct)
     told = distinct.select("key", "first", "copies").join(near, "key", "left").filter("copies > 1 or near is not null")
     told = stored(told.select(F.col("key").alias("_key"), "first", F.least("first", "near").alias("keep")), "lines-told")
     own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("line_no"))
