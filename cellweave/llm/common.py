@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
+    return path
+
+
+#: Folders made since `collecting` began, for those who know when they are done with.
+_made: list[str] | None = None
+
+
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders that operators make within the block, as a list."""
+    global _made
+    before, _made = _made, []
+    try:
+        yield _made
+    finally:
+        _made = before
 
 
 def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:

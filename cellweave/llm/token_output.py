@@ -31,7 +31,7 @@ from .common import body, new_path, worker_cache
 END_ID = 2
 BLOCK_IDS = 65_536
 #: Pieces a worker remembers at most.
-CACHE_PIECES = 2_500_000
+CACHE_PIECES = 1_500_000
 
 STORE = (
     "shard int, block long, shard_start long, first_doc_id long, last_doc_id long, n_docs int, n_ids long, width int, "
@@ -196,7 +196,7 @@ def encoder(path: str) -> Encoder:
 
 
 #: Bytes of text that a worker encodes at once.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:

@@ -2,38 +2,61 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
-documents.
+documents. As a result is written before the next stage begins, that stage first
+deletes the intermediate folders of the one before it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm import decontamination, mixing, near_dedup, quality_rules, token_output
-from cellweave.llm.common import stored, table
+from cellweave.llm.common import collecting, remove, stored, table
 from cellweave.llm.queries import tokenizer_path
 
+_left: list[str] = []
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            remove(spark, _left.pop())
+        with collecting() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the default policy rejects go."""
     return quality_rules.filter_documents(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class of near copies stays."""
     return near_dedup.deduplicated(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share ten words in a row with a benchmark item go."""
     return decontamination.clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often (0, 1 or 2 times) as its source's target weight takes it."""
     return mixing.mixed(docs)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token store; returns doc_id, start, n_tokens, ids_crc32 read from it."""
     return token_output.op9_token_output(spark, docs, tokenizer_path())
