@@ -14,8 +14,8 @@ weighs half of what is rare.
 3. In each band, documents with equal keys form a bucket. A bucket is not expanded
    into pairs: its members are compared with one leader, the document that meets
    most others over all bands (the centre of a group of edited copies does). Members
-   that the leader does not take are compared with the next leader, and so on for
-   MOST_ROUNDS rounds; each round is linear in the members left.
+   that it does not take are compared with the next LEADERS[1] of themselves. Each round
+   is linear in the members left.
 4. A pair is verified on the whole texts: a link needs a weighted Jaccard similarity
    of `threshold` with the TF-IDF weights or with the plain counts (which the same
    sampling finds; in a large group of copies idf alone would punish every edit).
@@ -37,7 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import body, likely, stored
@@ -49,7 +50,8 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 DF_BUCKETS = 1 << 17
 TABLE_BITS = 16
-MOST_ROUNDS = 4
+#: Leaders that a bucket's members are compared with in each round.
+LEADERS = (1, 4)
 CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 4_000
 #: Members that one copy of a leader's text serves in the verification join.
 SALT_ROWS = 256
@@ -190,18 +192,18 @@ def _verified(pairs: DataFrame, idf, threshold: float) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = idf.value
         for b in batches:
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+            sizes = pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
             at, linked = 0, []
-            while at < len(left):
-                end, size = at, 0
-                while end < len(left) and (size == 0 or size + len(left[end]) + len(right[end]) < CHUNK_BYTES) and end - at < CHUNK_DOCS // 2:
-                    size += len(left[end]) + len(right[end])
-                    end += 1
-                number = {t: k for k, t in enumerate(dict.fromkeys([*left[at:end], *right[at:end]]))}
+            while at < b.num_rows:
+                reach = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, side="right"))
+                end = min(max(at + 1, reach), at + CHUNK_DOCS // 2)
+                left, right = (b.column(c).slice(at, end - at).to_pylist() for c in (2, 3))
+                number = {t: k for k, t in enumerate(dict.fromkeys([*left, *right]))}
                 ids, tf, of = shingles(list(number))
                 cuts = np.searchsorted(of, np.arange(len(number) + 1)).tolist()
                 part = lambda t: slice(cuts[number[t]], cuts[number[t] + 1])  # noqa: B023, E731
-                for x, y in zip(left[at:end], right[at:end], strict=True):
+                for x, y in zip(left, right, strict=True):
                     x, y = part(x), part(y)
                     linked.append(similarity((ids[x], tf[x]), (ids[y], tf[y]), weigh) >= threshold - 1e-9)
                 at = end
@@ -235,10 +237,11 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = stored(members.join(scores, "key"), "near-scored")
     wanted = stored(likely(texts, scores.select("key"), "key").dropDuplicates(["key"]), "near-texts")
     tested = None
-    for _ in range(MOST_ROUNDS):
-        best = members.groupBy("band").agg(F.max(F.struct("score", "key")).alias("best"), F.count("*").alias("_left"))
-        best = best.filter("_left > 1").select("band", F.col("best.key").alias("b"))
-        facing = stored(members.join(best, "band").filter(F.col("key") != F.col("b")), "near-facing")
+    for leaders in LEADERS:
+        first = Window.partitionBy("band").orderBy(F.desc("score"), F.desc("key"))
+        # Spark keeps only `leaders` rows of a band in each task before it shuffles them.
+        best = members.select("band", F.col("key").alias("b"), "score", "key").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders)
+        facing = stored(members.join(best.select("band", "b"), "band").filter(F.col("key") != F.col("b")), "near-facing")
         fresh = facing.groupBy(F.col("key").alias("a"), "b").agg(F.max("n").alias("n"))
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
@@ -247,7 +250,8 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         result = stored(_verified(_with_texts(fresh, wanted), idf, threshold), "near-verified")
         tested = result if tested is None else tested.unionByName(result)
         taken = tested.filter("linked").select(F.col("a").alias("key"), "b")
-        members = facing.join(taken, ["key", "b"], "left_anti").select(*members.columns)
+        settled = facing.join(taken, ["key", "b"], "left_semi").select("key", "band").distinct()
+        members = facing.select(*members.columns).distinct().join(settled, ["key", "band"], "left_anti")
     if tested is None:
         return spark.createDataFrame([], "a binary, b binary")
     return tested.filter("linked").select("a", "b")
@@ -273,18 +277,18 @@ def components(edges: DataFrame) -> DataFrame:
         return out.filter(F.col("a") != F.col("b")).distinct()
 
     down = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state = lambda e: e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
     edges = stored(down(edges.filter(F.col("a") != F.col("b"))).distinct(), "near-edges")
-    before = state(edges)
-    while before[0]:
+    # Done when every edge leads straight to a root: no node is both an a and a b, and no a has two.
+    while not _is_stars(edges):
         edges = stored(star(down(star(both(edges), larger=True)), larger=False), "near-stars")
-        now = state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key (of the text), class_id, class_size: one row for each document."""
     texts = docs.select(key_of(body()).alias("key"), body().cast("binary").alias("text"))
