@@ -52,9 +52,11 @@ DF_BUCKETS = 1 << 17
 TABLE_BITS = 16
 #: Leaders that a bucket's members are compared with in each round.
 LEADERS = (1, 4)
-CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 4_000
+CHUNK_BYTES, CHUNK_DOCS = 800_000, 4_000
 #: Members that one copy of a leader's text serves in the verification join.
 SALT_ROWS = 256
+#: Copies of a class's row in the joins that look it up.
+SALTS = 16
 
 _rng = np.random.Generator(np.random.PCG64(20240707))
 _R = _rng.gamma(2.0, 1.0, 1 << TABLE_BITS).astype(np.float32)
@@ -293,10 +295,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key (of the text), class_id, class_size: one row for each document."""
     texts = docs.select(key_of(body()).alias("key"), body().cast("binary").alias("text"))
     roots = components(links(texts, threshold))
-    ids = docs.select("doc_id", key_of(body()).alias("key"))
-    ids = stored(ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-ids")
-    sizes = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return ids.join(sizes, "root").select("doc_id", "key", "class_id", "class_size")
+    ids = stored(docs.select("doc_id", key_of(body()).alias("key")), "near-ids")
+    keys = ids.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    keys = keys.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = keys.groupBy("root").agg(F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size"))
+    # Only classes of several documents are looked up, each in SALTS copies, so that one
+    # class or text with many documents does not meet in one task.
+    large = _salted(keys.select("key", "root"), sizes.filter("class_size > 1"), "root", "inner").select("key", "class_id", "class_size")
+    found = _salted(ids, large, "key", "left")
+    return found.select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def _salted(rows: DataFrame, looked_up: DataFrame, on: str, how: str) -> DataFrame:
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    copies = looked_up.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
