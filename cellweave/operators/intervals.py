@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 2_000
+TILE = 512
 FAN = 16
 #: Tile sizes of the length classes: FAN times as long each, up to whole chromosomes.
 CLASSES = 5
