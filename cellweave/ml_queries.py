@@ -45,7 +45,7 @@ def _tops(spark, d):
 
 
 @query(
-    "SELECT a.topic, round(avg(ln(((SELECT count(*) FROM counts x JOIN counts y ON x.cell_id = y.cell_id WHERE x.feature_id = a.f AND y.feature_id = b.f) + 1.0) / (SELECT count(*) FROM counts x WHERE x.feature_id = b.f))), 6) AS u_mass "
+    "SELECT a.topic::INT AS topic, round(avg(ln(((SELECT count(*) FROM counts x JOIN counts y ON x.cell_id = y.cell_id WHERE x.feature_id = a.f AND y.feature_id = b.f) + 1.0) / (SELECT count(*) FROM counts x WHERE x.feature_id = b.f))), 6) AS u_mass "
     "FROM tops a JOIN tops b ON a.topic = b.topic AND a.rank > b.rank GROUP BY a.topic",
     "counts tops",
 )

@@ -421,7 +421,7 @@ def barcode_hamming(spark, d):
     return P.hamming_barcodes(V.reads(spark, d), V.barcodes(spark, d), 1)
 
 
-@query(f"SELECT count(*) AS total, count_if({FILTER_SQL}) AS remaining FROM reads")
+@query(f"SELECT count(*) AS total, count_if({FILTER_SQL})::BIGINT AS remaining FROM reads")
 def filter_totals(spark, d):
     return stats.filter_totals(V.reads(spark, d), FILTER)
 
