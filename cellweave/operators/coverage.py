@@ -12,7 +12,7 @@ from .intervals import run_length
 
 def cells_with_groups(samples: DataFrame, groups: DataFrame) -> DataFrame:  # J13
     """Every (sample, barcode of any group) with its cluster, null without one."""
-    every = samples.select("sample").distinct().crossJoin(F.broadcast(groups.select("barcode").distinct()))
+    every = samples.select("sample").distinct().crossJoin(groups.select("barcode").distinct())
     return every.join(groups, ["sample", "barcode"], "left")
 
 

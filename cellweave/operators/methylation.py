@@ -20,7 +20,7 @@ def bin_summary(r: DataFrame, cells: int) -> DataFrame:
 
 def imputed(r: DataFrame, cells: DataFrame) -> DataFrame:
     """Every (cell, bin): the ratio, or the bin's mean where the cell has none."""
-    grid = r.select("bin_id").distinct().crossJoin(F.broadcast(cells.select("cell").distinct()))
+    grid = r.select("bin_id").distinct().crossJoin(cells.select("cell").distinct())
     x = grid.join(r.select("cell", "bin_id", "ratio"), ["cell", "bin_id"], "left")
     return x.withColumn("ratio", F.coalesce("ratio", F.avg("ratio").over(Window.partitionBy("bin_id"))))
 

@@ -109,7 +109,7 @@ def read_matrix_market(spark: SparkSession, prefix: str) -> DataFrame:  # S14
     # An entry at the last corner can look like the size line; then one of the two stays.
     twice = x.filter(same)
     x = x.filter(~same).unionByName(twice.limit(max(0, twice.count() - 1)))
-    return x.join(F.broadcast(rows.withColumnRenamed("k", "i")), "i").join(F.broadcast(cols.withColumnRenamed("k", "j")), "j").select("cell_id", "feature_id", "count")
+    return x.join(rows.withColumnRenamed("k", "i"), "i").join(cols.withColumnRenamed("k", "j"), "j").select("cell_id", "feature_id", "count")
 
 
 def read_methylation(spark: SparkSession, path: str) -> DataFrame:  # S17
