@@ -15,7 +15,11 @@ weighs half of what is rare.
    into pairs: its members are compared with one leader, the document that meets
    most others over all bands (the centre of a group of edited copies does). Members
    that it does not take are compared with the next LEADERS[1] of themselves. Each round
-   is linear in the members left.
+   is linear in the members left. Most of a group is then one class. What is left is
+   exact: in each bucket, members outside its largest class meet every member of another
+   class, until no two members of different classes are uncompared. Only pairs go that
+   cannot be links: 1 - similarity is a metric, so two members whose similarities with
+   the bucket's first leader lie further apart than 1 - threshold are no link.
 4. A pair is verified on the whole texts: a link needs a weighted Jaccard similarity
    of `threshold` with the TF-IDF weights or with the plain counts (which the same
    sampling finds; in a large group of copies idf alone would punish every edit).
@@ -50,8 +54,9 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 DF_BUCKETS = 1 << 17
 TABLE_BITS = 16
-#: Leaders that a bucket's members are compared with in each round.
-LEADERS = (1, 4)
+#: Leaders that a bucket's members are compared with in the first rounds, and the factor
+#: by which each later round has more.
+LEADERS, MORE = (1, 4), 4
 CHUNK_BYTES, CHUNK_DOCS = 800_000, 4_000
 #: Members that one copy of a leader's text serves in the verification join.
 SALT_ROWS = 256
@@ -174,29 +179,33 @@ def sketches(texts: DataFrame, idf) -> DataFrame:
     return texts.mapInArrow(each, "key binary, bands array<bigint>")
 
 
-def similarity(a: tuple, b: tuple, weigh: np.ndarray) -> float:
-    """The greater of the weighted Jaccard similarities with tf * idf and with tf."""
+def similarities(a: tuple, b: tuple, weigh: np.ndarray) -> tuple[float, float]:
+    """The weighted Jaccard similarities with tf and with tf * idf."""
     (x, m), (y, n) = a, b
     at = np.minimum(np.searchsorted(y, x), len(y) - 1) if len(y) else np.zeros(0, np.int64)
     if not len(x) or not len(y):
-        return 0.0
+        return 0.0, 0.0
     both = y[at] == x
     least = np.minimum(m[both], n[at[both]])
     plain = least.sum()
     w = (least * weigh[bucket_of(x[both])]).sum()
     of_x, of_y = (m * weigh[bucket_of(x)]).sum(), (n * weigh[bucket_of(y)]).sum()
-    return float(max(plain / (m.sum() + n.sum() - plain), w / (of_x + of_y - w)))
+    return float(plain / (m.sum() + n.sum() - plain)), float(w / (of_x + of_y - w))
+
+
+def similarity(a: tuple, b: tuple, weigh: np.ndarray) -> float:
+    return max(similarities(a, b, weigh))
 
 
 def _verified(pairs: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, linked) from (a, b, text_a, text_b)."""
+    """(a, b, plain, weighted, linked) from (a, b, text_a, text_b)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = idf.value
         for b in batches:
             sizes = pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(sizes)
-            at, linked = 0, []
+            at, found = 0, []
             while at < b.num_rows:
                 reach = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, side="right"))
                 end = min(max(at + 1, reach), at + CHUNK_DOCS // 2)
@@ -207,11 +216,13 @@ def _verified(pairs: DataFrame, idf, threshold: float) -> DataFrame:
                 part = lambda t: slice(cuts[number[t]], cuts[number[t] + 1])  # noqa: B023, E731
                 for x, y in zip(left, right, strict=True):
                     x, y = part(x), part(y)
-                    linked.append(similarity((ids[x], tf[x]), (ids[y], tf[y]), weigh) >= threshold - 1e-9)
+                    found.append(similarities((ids[x], tf[x]), (ids[y], tf[y]), weigh))
                 at = end
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            both = np.array(found, np.float64).reshape(-1, 2)
+            linked = both.max(axis=1, initial=0) >= threshold - 1e-9
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(linked)], names=["a", "b", "plain", "weighted", "linked"])
 
-    return pairs.mapInArrow(each, "a binary, b binary, linked boolean")
+    return pairs.mapInArrow(each, "a binary, b binary, plain double, weighted double, linked boolean")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -227,7 +238,8 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): verified links between different texts; `texts` is (key, text)."""
+    """(a, b): edges between different texts whose components are those of all verified
+    links; `texts` is (key, text)."""
     spark = texts.sparkSession
     rows, df = document_frequencies(texts)
     idf = spark.sparkContext.broadcast(idf_of(rows, df))
@@ -250,13 +262,54 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if facing.isEmpty():
             break
         result = stored(_verified(_with_texts(fresh, wanted), idf, threshold), "near-verified")
+        if tested is None:
+            # The first leader meets all of a bucket; itself has no row in `result`.
+            near = facing.select("band", "key", "b").join(result.select(F.col("a").alias("key"), "b", "plain", "weighted"), ["key", "b"]).drop("b")
+            placed = stored(members.join(near, ["band", "key"], "left").fillna(1.0, ["plain", "weighted"]), "near-placed")
         tested = result if tested is None else tested.unionByName(result)
         taken = tested.filter("linked").select(F.col("a").alias("key"), "b")
         settled = facing.join(taken, ["key", "b"], "left_semi").select("key", "band").distinct()
         members = facing.select(*members.columns).distinct().join(settled, ["key", "band"], "left_anti")
     if tested is None:
         return spark.createDataFrame([], "a binary, b binary")
-    return tested.filter("linked").select("a", "b")
+    return _closed(placed, tested, wanted, idf, threshold)
+
+
+def _closed(members: DataFrame, tested: DataFrame, wanted: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): edges with the components that all links within the buckets give.
+
+    members: (band, key, n, score, plain, weighted), the last two being the similarities
+    with one member of the band. A round's leaders are not of their bucket's largest class
+    and meet all members of other classes, so they leave the bucket after it; it is done
+    once it holds a single class.
+    """
+    width = 1 - threshold + 1e-6
+    names = members.columns
+    edges, leaders = tested.filter("linked").select("a", "b"), LEADERS[-1]
+    while True:
+        roots = components(edges)
+        edges = roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
+        members = members.select(*names).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        groups = members.groupBy("band", "root").agg(F.count("*").alias("size"))
+        largest = groups.groupBy("band").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
+        members = stored(members.join(largest.drop("classes"), "band"), "near-open")
+        if members.isEmpty():
+            return edges
+        leaders *= MORE
+        first = Window.partitionBy("band").orderBy(F.desc("score"), F.desc("key"))
+        best = members.filter("root != largest").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders)
+        best = stored(best.select("band", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "plain", "weighted")]), "near-leaders")
+        apart = lambda c: F.abs(F.col(c) - F.col(f"{c}_b"))
+        facing = members.join(best, "band").filter((F.col("root") != F.col("root_b")) & (F.least(apart("plain"), apart("weighted")) <= width))
+        # Two leaders meet in either order; a pair is compared once.
+        pair = (F.least("key", "key_b"), F.greatest("key", "key_b"))
+        fresh = facing.groupBy(pair[0].alias("x"), pair[1].alias("y")).agg(F.max("n").alias("n"), F.min(F.struct("key", "key_b")).alias("p"))
+        known = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        fresh = fresh.join(known, ["x", "y"], "left_anti").select(F.col("p.key").alias("a"), F.col("p.key_b").alias("b"), "n")
+        result = stored(_verified(_with_texts(fresh, wanted), idf, threshold), "near-verified")
+        tested = tested.unionByName(result)
+        edges = edges.unionByName(result.filter("linked").select("a", "b"))
+        members = members.join(best.select("band", F.col("key_b").alias("key")), ["band", "key"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -279,6 +279,22 @@ def test_near_copies_against_brute_force(spark):
         assert got[i] == min([i, *own])
 
 
+def test_every_link_of_a_bucket_is_found(spark):
+    """Buckets of dozens of groups around one text: each has a copy that the text's own
+    group takes, and one that is near this copy only."""
+    rng, base, texts = random.Random(13), prose(3, 400).split(), [prose(3, 400)]
+    edited = lambda w, at: " ".join(f"new{rng.randint(0, 10**9)}" if k in at else x for k, x in enumerate(w))
+    for _ in range(60):
+        spots = rng.sample(range(0, 400, 10), 11)
+        texts.append(edited(base, spots[:3]))
+        texts.append(edited(texts[-1].split(), spots[3:]))
+    texts += [f"{texts[0]} tail{k}" for k in range(10)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.op5_near_dedup(spark, make(spark, list(enumerate(texts)))).collect()}
+    sets = [_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if _jaccard(sets[i], sets[j]) >= 0.8]
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+
+
 def test_one_of_each_class_stays(spark):
     a, b = prose(1, 50), prose(2, 50)
     got = near_dedup.deduplicated(make(spark, [(3, a), (2, a), (2, a), (7, b), (None, b), (8, a + " more")]))
