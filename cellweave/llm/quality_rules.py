@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import GAP, body, let, unwrapped, words, wrapped
 
 WINDOW = 5
+#: Words of the windows over which the distinct ones are counted by n_window_distinct.
+SHARE_WINDOW = 1000
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -57,6 +59,12 @@ POLICIES: Mapping[str, tuple[str, ...]] = {
 }
 DEFAULT_POLICY = "web-2"
 
+#: What `filter_documents` applies: few_distinct_words falls with the length of any text, so
+#: the mean share over windows of SHARE_WINDOW words stands in its place. Texts of one
+#: window fare the same. The ledger and its SQL keep RULES and web-2.
+FILTER_RULES = (*RULES, Rule("few_distinct_in_windows", 7, "5 * n_window_distinct < n_words"))
+FILTER_POLICY = tuple(r.name for r in FILTER_RULES if r.name != "few_distinct_words")
+
 
 def mask(names, rules=RULES) -> int:
     by_name = {r.name: r for r in rules}
@@ -88,6 +96,13 @@ def _repeat_words(grams: Column) -> Column:
     return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), slow(g)).otherwise(F.lit(0).cast("long")))
 
 
+def _window_distinct(hashes: Column) -> Column:
+    """Distinct words of each window of SHARE_WINDOW words, summed over the whole text."""
+    own = lambda h, i: F.size(F.array_distinct(F.slice(h, i * SHARE_WINDOW + 1, SHARE_WINDOW)))
+    starts = lambda h: F.sequence(F.lit(0), F.floor(F.size(h) / SHARE_WINDOW).cast("int"))
+    return let(hashes, lambda h: F.aggregate(starts(h), F.lit(0).cast("long"), lambda a, i: a + own(h, i)))
+
+
 def measured(wrapped_docs: DataFrame) -> DataFrame:
     """Add the measures (long) of `row.text`."""
     text = F.col("_t")
@@ -110,6 +125,7 @@ def measured(wrapped_docs: DataFrame) -> DataFrame:
         "n_lines": F.size("_lines"),
         "n_exclaims": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
         "n_distinct_words": F.size(F.array_distinct("_h")),
+        "n_window_distinct": _window_distinct(F.col("_h")),
     }
     return step.select("row", *[v.cast("long").alias(k) for k, v in values.items()])
 
@@ -135,9 +151,9 @@ def rejected(policy, rules=RULES) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(names, rules))) != 0
 
 
-def filter_documents(docs: DataFrame, policy=DEFAULT_POLICY) -> DataFrame:
+def filter_documents(docs: DataFrame, policy=FILTER_POLICY, rules=FILTER_RULES) -> DataFrame:
     """The documents that the policy keeps, with all their columns."""
-    return unwrapped(with_bits(measured(wrapped(docs))).filter(~rejected(policy)))
+    return unwrapped(with_bits(measured(wrapped(docs)), rules).filter(~rejected(policy, rules)))
 
 
 def ablation(led: DataFrame, policies=None, rules=RULES) -> DataFrame:

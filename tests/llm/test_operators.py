@@ -97,6 +97,12 @@ def test_ablation(spark):
     assert quality_rules.filter_documents(make(spark, [(1, "a"), (2, prose(1, 50))]), "base-1").select("doc_id").first()[0] == 2
 
 
+def test_length_alone_rejects_no_text(spark):
+    texts = [prose(4, 500_000), prose(4, 50), " ".join(random.Random(2).choice("abcdefgh") for _ in range(500)), " ".join(random.Random(2).choice(WORDS) for _ in range(20_000))]
+    kept = quality_rules.filter_documents(make(spark, list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [0, 1]
+
+
 # ---- 2 ----
 
 
