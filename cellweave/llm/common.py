@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
+import re
 import sys
 import tempfile
 import types
@@ -36,24 +38,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    if _made is not None:
-        _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
-#: Folders made since `collecting` began, for those who know when they are done with.
-_made: list[str] | None = None
+class Scratch(list):
+    """Folders made within a `scratch` block; `outer` is the block around it."""
+
+    outer: Scratch | None = None
+
+
+_made: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("made", default=None)
 
 
 @contextlib.contextmanager
-def collecting() -> Iterator[list[str]]:
-    """The folders that operators make within the block, as a list."""
-    global _made
-    before, _made = _made, []
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes the folders that are made within the block, but for those that `kept`
+    makes: what leaves the block may read these only."""
+    made = Scratch()
+    made.outer = _made.get()
+    token = _made.set(made)
     try:
-        yield _made
+        yield made
     finally:
-        _made = before
+        _made.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def kept(df: DataFrame, what: str, made: Scratch) -> DataFrame:
+    """`df` stored in a folder that outlives the innermost block, `made`; a block around
+    that one deletes it."""
+    path = new_path(df.sparkSession, what)
+    made.remove(path)
+    if made.outer is not None:
+        made.outer.append(path)
+    return stored(df, what, path)
 
 
 def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
@@ -104,6 +125,22 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0).cast("long"))
 
 
+#: Copies of a row in `salted_join`.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, looked_up: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join in which each row of `looked_up` stands in SALTS copies, so that the rows of
+    one key are dealt to SALTS tasks before adaptive skew splitting has to help."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit("salt")), F.lit(SALTS)).cast("int")
+    copies = looked_up.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")
+
+
+#: Runs of letters: what \\w takes, without digits, other numbers (such as ² or Ⅷ) and _.
+LETTERS = re.compile(r"[^\W\d_" + "".join(chr(c) for c in range(0x110000) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal()) + "]+")
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     name = "_cellweave_worker_cache"
