@@ -27,7 +27,7 @@ SHARE_WINDOW = 1000
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_exclaims", "n_distinct_words",
+    "n_lines", "n_exclaims", "n_distinct_words", "n_window_distinct",
 )
 
 
@@ -48,6 +48,7 @@ RULES = (
     Rule("repeated_lines", 4, "2 * n_dup_lines > n_lines"),
     Rule("few_distinct_words", 5, "5 * n_distinct_words < n_words"),
     Rule("long_words", 6, "word_chars > 40 * n_words"),
+    Rule("few_distinct_in_windows", 7, "5 * n_window_distinct < n_words"),
 )
 BASE = ("too_short", "repeats_itself")
 
@@ -55,15 +56,12 @@ BASE = ("too_short", "repeats_itself")
 POLICIES: Mapping[str, tuple[str, ...]] = {
     "base-1": BASE,
     "web-1": (*BASE, "symbols", "shouting"),
-    "web-2": tuple(r.name for r in RULES),
+    "web-2": (*BASE, "symbols", "shouting", "repeated_lines", "few_distinct_words", "long_words"),
+    # The share of distinct words falls with the length of any text; its mean over
+    # windows of SHARE_WINDOW words does not. Texts of one window fare the same.
+    "web-3": (*BASE, "symbols", "shouting", "repeated_lines", "few_distinct_in_windows", "long_words"),
 }
-DEFAULT_POLICY = "web-2"
-
-#: What `filter_documents` applies: few_distinct_words falls with the length of any text, so
-#: the mean share over windows of SHARE_WINDOW words stands in its place. Texts of one
-#: window fare the same. The ledger and its SQL keep RULES and web-2.
-FILTER_RULES = (*RULES, Rule("few_distinct_in_windows", 7, "5 * n_window_distinct < n_words"))
-FILTER_POLICY = tuple(r.name for r in FILTER_RULES if r.name != "few_distinct_words")
+DEFAULT_POLICY = "web-3"
 
 
 def mask(names, rules=RULES) -> int:
@@ -151,7 +149,7 @@ def rejected(policy, rules=RULES) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(names, rules))) != 0
 
 
-def filter_documents(docs: DataFrame, policy=FILTER_POLICY, rules=FILTER_RULES) -> DataFrame:
+def filter_documents(docs: DataFrame, policy=DEFAULT_POLICY, rules=RULES) -> DataFrame:
     """The documents that the policy keeps, with all their columns."""
     return unwrapped(with_bits(measured(wrapped(docs)), rules).filter(~rejected(policy, rules)))
 
@@ -204,7 +202,9 @@ m AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(cover.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
          (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaims,
-         len(list_distinct(w))::BIGINT AS n_distinct_words
+         len(list_distinct(w))::BIGINT AS n_distinct_words,
+         list_sum(list_transform(range(0, len(w) // {SHARE_WINDOW} + 1),
+           lambda k: len(list_distinct(w[k * {SHARE_WINDOW} + 1:(k + 1) * {SHARE_WINDOW}]))))::BIGINT AS n_window_distinct
   FROM d LEFT JOIN cover USING (rid)),
 b AS (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)})::BIGINT AS fail_bits FROM m)
 SELECT *,
