@@ -1,19 +1,25 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block of the page. A line weighs the
-characters of its text that are not link text (all of them in a marked article). Lines in navigation, headers,
-footers, sidebars, notices, adverts, forms, comments and the like (told by element,
-role, class or id) keep their place but have no text and weigh nothing; so do lines
-outside <article> or <main> on a page that has one. Weights are summed over sliding
-windows of WINDOW lines. The text surges where a window reaches the threshold and
-dives where no window that holds the line does; what lies between is kept. Where
-the page marks its article, any text reaches the threshold; elsewhere it is a share
-of the strongest window.
+1. Markup is stripped into lines, one for each block of the page.
+2. A line weighs the characters of its text, without link text unless the page marks its
+   article. Lines in navigation, headers, footers, sidebars, notices, adverts, forms,
+   comments and the like (told by element, role, class or id) and, on a page that has
+   an <article> or <main>, lines outside it are stripped of their text: they keep
+   their place but weigh nothing. Stripped lines within an article count as one.
+3. Weights are summed over sliding windows of WINDOW lines. The text surges where they
+   rise from zero and dives where a window is zero again. What lies between such a pair is
+   kept if a window there reaches the threshold: THRESHOLD characters, or SHARE of the
+   page's strongest window where that is less.
+
+The same search runs on every page. Where markup tells everything, as on a page that has
+one marked article, it finds that one rise; the more text the markup leaves, the more is
+decided by the distribution.
 
 Null or empty html gives an empty text. Unclosed, crossed and truncated tags,
 comments and references are read as browsers do, roughly: a container ends with
 its parent. Repeated rows and null ids give a row each; an empty table gives none.
-Extra columns are ignored. Time and memory are linear in the page.
+Extra columns are ignored. Time and memory are linear in the page: no part of it is
+scanned again for each tag.
 """
 
 from __future__ import annotations
@@ -22,14 +28,14 @@ import html as html_module
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Without a marked article: this share of the strongest window, this many characters at most.
-SHARE, MOST = 0.2, 80
+SHARE, THRESHOLD = 0.2, 80
 
 # Element names and words of HTML pages.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object".split())
@@ -51,7 +57,9 @@ NAMES = frozenset(
 )
 
 _MARK = re.compile(r"<(?:!--|[a-zA-Z/!?])")
-_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*)>""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"""</?([a-zA-Z][^\s/>]*+)([^"'>]*+)>""")
+_EDGE = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -76,6 +84,39 @@ def _boilerplate(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+class _Tags:
+    """Finds where tags end. A quote or > outside of quotes leads to the same end from
+    whichever tag it is met, so what was found for one is remembered for the others."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[int, int] = {}
+
+    def at(self, start: int) -> tuple[str, str, int] | None:
+        """(name, attributes, place after the tag) of the tag at `start`, if there is one."""
+        if plain := _PLAIN.match(self.page, start):
+            return plain[1].lower(), plain[2], plain.end()
+        name = _NAME.match(self.page, start)
+        if not name:
+            return None
+        path, at, end = [], name.end(), -1
+        while edge := _EDGE.search(self.page, at):
+            mark = edge.start()
+            if mark in self.ends:
+                end = self.ends[mark]
+                break
+            path.append(mark)
+            if edge[0] == ">":
+                end = mark + 1
+                break
+            closing = self.page.find(edge[0], mark + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        self.ends.update(dict.fromkeys(path, end))
+        return (name[1].lower(), self.page[name.end() : end - 1], end) if end >= 0 else None
+
+
 def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     """(text, weight) of each block in page order, and whether an article is marked."""
     out: list[tuple[str, int, bool]] = []
@@ -86,6 +127,7 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     anchors = 0
     marked = False
     at, n = 0, len(page)
+    tags = _Tags(page)
 
     def text(a: int, z: int) -> None:
         nonlocal link
@@ -97,8 +139,9 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     def close() -> None:
         nonlocal link
         joined = " ".join(html_module.unescape("".join(parts)).split())
-        if joined or (stack and stack[-1][1]):
-            out.append((joined, max(0, len(joined) - link), bool(stack and stack[-1][2])))
+        dropped, main = stack[-1][1:] if stack else (False, False)
+        if joined or (dropped and not (main and out and out[-1] == ("", 0, True))):
+            out.append((joined, max(0, len(joined) - link), main))
         parts.clear()
         link = 0
 
@@ -113,14 +156,14 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
             end = page.find("-->", at + 4)
             at = n if end < 0 else end + 3
             continue
-        tag = _TAG.match(page, at)
+        tag = tags.at(at)
         if not tag:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             continue
-        at = tag.end()
-        name = tag[1].lower()
-        if page[tag.start() + 1] == "/":
+        closes = page[at + 1] == "/"
+        name, attributes, at = tag
+        if closes:
             if name == "a":
                 anchors = max(0, anchors - 1)
             if name not in INLINE and name not in CELLS:
@@ -142,10 +185,10 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
         if name == "a":
             anchors += 1
             continue
-        if name in INLINE and not tag[2].strip():
+        if name in INLINE and not attributes.strip():
             continue
         dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name == "body":
+        if name == "body" and opened["head"]:
             stack = [x for x in stack if x[0] != "head"]
             opened["head"] = 0
             dropped = False
@@ -154,11 +197,11 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
             anchors = 0
         if name in MAIN and not dropped:
             marked = main = True
-        if name not in LOOSE and name not in VOID and not tag[2].rstrip().endswith("/"):
-            if name not in INLINE or _boilerplate(name, tag[2], main):
-                stack.append((name, dropped or _boilerplate(name, tag[2], main), main))
+        if name not in LOOSE and name not in VOID and not attributes.rstrip().endswith("/"):
+            if name not in INLINE or _boilerplate(name, attributes, main):
+                stack.append((name, dropped or _boilerplate(name, attributes, main), main))
                 opened[name] += 1
-        elif name in LOOSE and _boilerplate(name, tag[2], main):
+        elif name in LOOSE and _boilerplate(name, attributes, main):
             # A loose element has no sure end: it counts until its end tag or its parent's.
             stack.append((name, True, main))
             opened[name] += 1
@@ -168,30 +211,37 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     return [(t, w) for t, w, m in out], False
 
 
-def between(weights: list[int], marked: bool, window: int = WINDOW) -> list[bool]:
-    """Which lines lie between a surge and the next dive."""
+def between(weights: list[int], window: int = WINDOW, share: float = SHARE, most: int = THRESHOLD) -> list[bool]:
+    """Which lines lie between a surge and the next dive, and reach the threshold there."""
     n = len(weights)
-    sums = [sum(weights[max(0, i) : i + window]) for i in range(1 - window, n)]  # of the windows that start at 1 - window ..
-    strongest = max(sums, default=0)
-    threshold = 1 if marked else max(1, min(MOST, int(strongest * SHARE)))
-    kept, inside = [], False
-    for i in range(n):
-        holding = sums[i : i + window]  # the windows that hold line i
-        if not inside and weights[i] > 0 and holding[-1] >= threshold:
-            inside = True
-        elif inside and weights[i] == 0 and not marked and max(holding[:1], default=0) < threshold:
-            inside = False
-        kept.append(inside)
-    last = max((i for i in range(n) if weights[i] > 0), default=-1)
-    return [k and i <= last for i, k in enumerate(kept)]
+    kept = [False] * n
+    sums = [0, *accumulate(weights)]
+    around = [sums[min(i + window, n)] - sums[max(0, i)] for i in range(1 - window, n)]  # windows from 1 - window on
+    threshold = max(1, min(most, int(max(around, default=0) * share)))
+    start = 0
+    while start < n:
+        if not weights[start]:
+            start += 1
+            continue
+        # The dive: the first window of zeros from here on, or the page's end.
+        end = last = start
+        peak = 0
+        while end < n and end - last <= window:
+            if weights[end]:
+                last, peak = end, max(peak, around[end + window - 1])
+            end += 1
+        if peak >= threshold:
+            kept[start : last + 1] = [True] * (last + 1 - start)
+        start = end
+    return kept
 
 
 def extract(page: str | None) -> str:
     """The main text: kept blocks in page order, one a line."""
     if not page:
         return ""
-    found, marked = lines(page)
-    keep = between([w for _, w in found], marked)
+    found = lines(page)[0]
+    keep = between([w for _, w in found])
     return "\n".join(t for (t, _), k in zip(found, keep, strict=True) if k and t)
 
 
