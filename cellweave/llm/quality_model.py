@@ -6,7 +6,8 @@ chosen by a hash of the id), whose statistics, not texts, are gathered. They are
 then flat arrays, broadcast (some 100 KB) and walked with numpy.
 
 Null texts count as empty and are scored like any other. Of several labels for one id
-the least counts; rows without a label are not learnt from. Without learning rows
+the least counts, of several texts the least by code point; rows without a label are not
+learnt from. Without learning rows
 the score is 0.5 for all. Null ids and repeated rows give a row each. An empty table
 gives none. Extra columns are ignored.
 """
@@ -66,8 +67,13 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = FIT_RO
     one = one.filter(F.col("_id").isNotNull() & (fold(F.col("_id"), 5) != 0))
     share = int(min(1.0, most / max(one.count(), 1)) * (1 << 30))
     one = one.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(one), "_id").select("y", "text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    again = ids.join(F.broadcast(one), "_id", "left_semi").groupBy("_id").count().filter("count > 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(one), "_id")
+    # Ids are nearly always unique, so look first; else of each id's texts the least stays.
+    if not again.isEmpty():
+        rows = rows.groupBy("_id", "y").agg(F.min("text").alias("text"))
+    return rows.select("y", "text")
 
 
 def learn(rows: DataFrame) -> Trees:
