@@ -33,8 +33,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of UTF-8 texts, in order, and the number of words
     of each text. A word is a run of 0-9, a-z and non-ASCII bytes after folding."""
+    hashes, counts, _, _, _ = word_spans(texts)
+    return hashes, counts
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What word_hashes gives, then the folded bytes of all texts and where in them each
+    word begins, and its length."""
+    none = np.zeros(0, np.int64)
     if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, np.zeros(0, np.uint8), none, none
     whole = np.frombuffer((b" ".join(texts) + b" ").translate(FOLD), np.uint8)
     inside = whole != 32
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -44,14 +52,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text_ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts.astype(np.int64)
+        return np.zeros(0, np.uint64), counts.astype(np.int64), whole, none, none
     lengths = ends - starts
     kept = whole[inside]
     firsts = np.cumsum(lengths) - lengths
     place = np.arange(len(kept), dtype=np.int64) - np.repeat(firsts, lengths)
     value = BYTE[kept]
     value *= powers(int(lengths.max()))[place]
-    return mixed(np.add.reduceat(value, firsts) + lengths.astype(np.uint64)), counts.astype(np.int64)
+    return mixed(np.add.reduceat(value, firsts) + lengths.astype(np.uint64)), counts.astype(np.int64), whole, starts, lengths
+
+
+def gathered(whole: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of the given words, one after another."""
+    ends = np.cumsum(lengths)
+    return whole[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
