@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in a shuffled order that depends on
-doc_id alone (md5), and may be gone through `epochs` times. A queued copy gets
+doc_id alone (md5; on the text where it is null), and may be gone through `epochs` times. A queued copy gets
 the virtual finish time (words of its source up to and including it) / (target
 of its source). All queues drain at once: copies are taken in order of that time
 until the total budget is spent, so each source comes within one document of its
@@ -12,11 +12,12 @@ first hex digits of the shuffle key); a running sum over those groups' totals an
 one within each group give the virtual times. The global order is range-sorted the
 same way: copies fall into equal slices of virtual time, the slices' totals are
 summed in order, the slice in which the budget ends is sliced again while it is
-large, and only then looked at row by row for the exact cut. The result compares each copy with that cut.
+large, and only then looked at row by row for the exact cut. Copies of one source have
+different times, as each has a size, so what no pass can part are a few copies of
+different sources; MOST_PASSES passes part all that floating point can tell apart. The result compares each copy with that cut.
 
-Null texts have size 0, null sources are one source (last), null ids share one
-shuffle key and are then ordered by size. Rows with equal id and size are
-interchangeable. Documents of size 0 are never taken: they weigh nothing. With no
+Null texts have size 0, null sources are one source (last). Rows with equal id and size, or
+without id and with equal text, are interchangeable. Documents of size 0 are never taken: they weigh nothing. With no
 words at all every target is 0. An empty table gives an empty result. Extra
 columns are kept by `mixed` and cannot clash, as the row travels as one struct.
 """
@@ -28,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import body, stored, words, wrapped
+from .common import body, kept, scratch, stored, words, wrapped
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -43,8 +44,9 @@ SLICE_ROWS = 15_000
 MOST_PASSES = 6
 
 
-def shuffle_key(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def shuffle_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """Of the id alone, or of the text where that is null."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.md5(text))))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -148,11 +150,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     taken = copies * size; with keep_rows also the document as the struct `row`."""
     base = wrapped(docs).select(
         F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"),
-        F.size(words(body(F.col("row.text")))).cast("long").alias("size"), shuffle_key(F.col("row.doc_id"), seed).alias("_key"), *(["row"] if keep_rows else []),
+        F.size(words(body(F.col("row.text")))).cast("long").alias("size"), shuffle_key(F.col("row.doc_id"), body(F.col("row.text")), seed).alias("_key"), *(["row"] if keep_rows else []),
     )
-    sizes = stored(base.drop("row"), "mix-sizes")
-    planned = stored(_plan(sizes, base if keep_rows else sizes, weights, share, epochs), "mix-plan")
-    cut = _cut(planned, epochs)
+    with scratch(docs.sparkSession) as made:
+        sizes = stored(base.drop("row"), "mix-sizes")
+        planned = kept(_plan(sizes, base if keep_rows else sizes, weights, share, epochs), "mix-plan", made)
+        cut = _cut(planned, epochs)
     copies = F.lit(0)
     if cut:
         at = F.struct(*[F.lit(x) for x in (float(cut[0]), cut[1], int(cut[2]), int(cut[3]))])
@@ -181,7 +184,7 @@ def op8_mixing(docs: DataFrame) -> DataFrame:
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(concat('{SEED}:', coalesce(doc_id::VARCHAR, ''))) AS key FROM documents),
+         md5(concat('{SEED}:', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([{", ".join(f"{x}.0" for x in WEIGHTS)}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS w,
       source_size::DOUBLE * {EPOCHS} AS cap FROM s),
