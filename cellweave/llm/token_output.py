@@ -312,7 +312,9 @@ def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[int, list
     return out
 
 
-def op9_token_output(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
-    path = new_path(spark, "tokens")
+def op9_token_output(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+    """Writes the store, at `path` or a new folder of the shared one, and returns what
+    `documents` reads from it. The store is the product and stays."""
+    path = path or new_path(spark, "tokens")
     write(docs, path, tokenizer)
     return documents(spark, path)
