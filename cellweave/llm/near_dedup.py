@@ -12,14 +12,14 @@ weighs half of what is rare.
    similarity. The random numbers of a (shingle, sample) come from a table indexed by
    a hash, so a sample costs a few array operations. ROWS samples make a band.
 3. In each band, documents with equal keys form a bucket. A bucket is not expanded
-   into pairs: its members are compared with one leader, the document that meets
-   most others over all bands (the centre of a group of edited copies does). Members
-   that it does not take are compared with the next LEADERS[1] of themselves. Each round
-   is linear in the members left. Most of a group is then one class. What is left is
-   exact: in each bucket, members outside its largest class meet every member of another
-   class, until no two members of different classes are uncompared. Only pairs go that
-   cannot be links: 1 - similarity is a metric, so two members whose similarities with
-   the bucket's first leader lie further apart than 1 - threshold are no link.
+   into pairs: its members are first compared with one leader, the document that meets
+   most others over all bands (the centre of a group of edited copies does), and linked
+   ones become one class. Then, in every bucket that holds several classes, the members
+   outside its largest class are compared with all members, so every pair of a bucket
+   whose ends are still in different classes is compared, in one pass. Buckets with the same
+   members count once. The comparison runs in tiles of TILE_OTHERS x TILE_MEMBERS texts,
+   each a row group of its own however large the bucket, as a product of two matrices of
+   shingles; a tile returns pairs of classes, not of documents.
 4. A pair is verified on the whole texts: a link needs a weighted Jaccard similarity
    of `threshold` with the TF-IDF weights or with the plain counts (which the same
    sampling finds; in a large group of copies idf alone would punish every edit).
@@ -42,10 +42,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, likely, stored
+from .common import body, kept, likely, salted_join, scratch, stored
 from .tokens import mixed, powers, windows, word_hashes
 
 WORDS = 5
@@ -54,14 +54,11 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 DF_BUCKETS = 1 << 17
 TABLE_BITS = 16
-#: Leaders that a bucket's members are compared with in the first rounds, and the factor
-#: by which each later round has more.
-LEADERS, MORE = (1, 4), 4
+#: Texts and bytes of the two sides of a tile, and columns of its matrices at once.
+TILE_OTHERS, TILE_MEMBERS, TILE_BYTES, TILE_COLUMNS = 256, 1_024, 2_000_000, 2_048
 CHUNK_BYTES, CHUNK_DOCS = 800_000, 4_000
 #: Members that one copy of a leader's text serves in the verification join.
 SALT_ROWS = 256
-#: Copies of a class's row in the joins that look it up.
-SALTS = 16
 
 _rng = np.random.Generator(np.random.PCG64(20240707))
 _R = _rng.gamma(2.0, 1.0, 1 << TABLE_BITS).astype(np.float32)
@@ -193,12 +190,8 @@ def similarities(a: tuple, b: tuple, weigh: np.ndarray) -> tuple[float, float]:
     return float(plain / (m.sum() + n.sum() - plain)), float(w / (of_x + of_y - w))
 
 
-def similarity(a: tuple, b: tuple, weigh: np.ndarray) -> float:
-    return max(similarities(a, b, weigh))
-
-
 def _verified(pairs: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, plain, weighted, linked) from (a, b, text_a, text_b)."""
+    """(a, b, linked) from (a, b, text_a, text_b)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = idf.value
@@ -220,9 +213,9 @@ def _verified(pairs: DataFrame, idf, threshold: float) -> DataFrame:
                 at = end
             both = np.array(found, np.float64).reshape(-1, 2)
             linked = both.max(axis=1, initial=0) >= threshold - 1e-9
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(linked)], names=["a", "b", "plain", "weighted", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
-    return pairs.mapInArrow(each, "a binary, b binary, plain double, weighted double, linked boolean")
+    return pairs.mapInArrow(each, "a binary, b binary, linked boolean")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -237,6 +230,14 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.join(leaders, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
 
+def _by_band(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """members (with their band's size n) joined with `bands` (one row a band, with n): a
+    band's row is copied once for each SALT_ROWS members, so none meets in one task."""
+    salts = F.ceil(F.col("n") / F.lit(SALT_ROWS)).cast("int")
+    copies = bands.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return members.withColumn("_salt", F.pmod(F.xxhash64("key"), salts).cast("int")).join(copies, ["band", "_salt"]).drop("_salt")
+
+
 def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): edges between different texts whose components are those of all verified
     links; `texts` is (key, text)."""
@@ -246,70 +247,122 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = stored(sketches(texts, idf).dropDuplicates(["key"]), "near-sketches")
     members = nodes.select("key", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(members.join(sizes, "band"), "near-members")
+    members = stored(salted_join(members, sizes, "band", "inner"), "near-members")
     scores = members.groupBy("key").agg(F.sum("n").alias("score"))
-    members = stored(members.join(scores, "key"), "near-scored")
     wanted = stored(likely(texts, scores.select("key"), "key").dropDuplicates(["key"]), "near-texts")
-    tested = None
-    for leaders in LEADERS:
-        first = Window.partitionBy("band").orderBy(F.desc("score"), F.desc("key"))
-        # Spark keeps only `leaders` rows of a band in each task before it shuffles them.
-        best = members.select("band", F.col("key").alias("b"), "score", "key").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders)
-        facing = stored(members.join(best.select("band", "b"), "band").filter(F.col("key") != F.col("b")), "near-facing")
-        fresh = facing.groupBy(F.col("key").alias("a"), "b").agg(F.max("n").alias("n"))
-        if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        if facing.isEmpty():
-            break
-        result = stored(_verified(_with_texts(fresh, wanted), idf, threshold), "near-verified")
-        if tested is None:
-            # The first leader meets all of a bucket; itself has no row in `result`.
-            near = facing.select("band", "key", "b").join(result.select(F.col("a").alias("key"), "b", "plain", "weighted"), ["key", "b"]).drop("b")
-            placed = stored(members.join(near, ["band", "key"], "left").fillna(1.0, ["plain", "weighted"]), "near-placed")
-        tested = result if tested is None else tested.unionByName(result)
-        taken = tested.filter("linked").select(F.col("a").alias("key"), "b")
-        settled = facing.join(taken, ["key", "b"], "left_semi").select("key", "band").distinct()
-        members = facing.select(*members.columns).distinct().join(settled, ["key", "band"], "left_anti")
-    if tested is None:
-        return spark.createDataFrame([], "a binary, b binary")
-    return _closed(placed, tested, wanted, idf, threshold)
-
-
-def _closed(members: DataFrame, tested: DataFrame, wanted: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b): edges with the components that all links within the buckets give.
-
-    members: (band, key, n, score, plain, weighted), the last two being the similarities
-    with one member of the band. A round's leaders are not of their bucket's largest class
-    and meet all members of other classes, so they leave the bucket after it; it is done
-    once it holds a single class.
-    """
-    width = 1 - threshold + 1e-6
-    names = members.columns
-    edges, leaders = tested.filter("linked").select("a", "b"), LEADERS[-1]
-    while True:
-        roots = components(edges)
-        edges = roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
-        members = members.select(*names).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        groups = members.groupBy("band", "root").agg(F.count("*").alias("size"))
-        largest = groups.groupBy("band").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
-        members = stored(members.join(largest.drop("classes"), "band"), "near-open")
-        if members.isEmpty():
-            return edges
-        leaders *= MORE
-        first = Window.partitionBy("band").orderBy(F.desc("score"), F.desc("key"))
-        best = members.filter("root != largest").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders)
-        best = stored(best.select("band", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "plain", "weighted")]), "near-leaders")
-        apart = lambda c: F.abs(F.col(c) - F.col(f"{c}_b"))
-        facing = members.join(best, "band").filter((F.col("root") != F.col("root_b")) & (F.least(apart("plain"), apart("weighted")) <= width))
-        # Two leaders meet in either order; a pair is compared once.
-        pair = (F.least("key", "key_b"), F.greatest("key", "key_b"))
-        fresh = facing.groupBy(pair[0].alias("x"), pair[1].alias("y")).agg(F.max("n").alias("n"), F.min(F.struct("key", "key_b")).alias("p"))
-        known = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        fresh = fresh.join(known, ["x", "y"], "left_anti").select(F.col("p.key").alias("a"), F.col("p.key_b").alias("b"), "n")
-        result = stored(_verified(_with_texts(fresh, wanted), idf, threshold), "near-verified")
-        tested = tested.unionByName(result)
-        edges = edges.unionByName(result.filter("linked").select("a", "b"))
-        members = members.join(best.select("band", F.col("key_b").alias("key")), ["band", "key"], "left_anti")
+    scored = members.join(scores, "key")
+    best = scored.groupBy("band", "n").agg(F.max(F.struct("score", "key"))["key"].alias("b"))
+    facing = _by_band(members, best).filter(F.col("key") != F.col("b"))
+    facing = facing.groupBy(F.col("key").alias("a"), "b").agg(F.max("n").alias("n"))
+    first = stored(_verified(_with_texts(facing, wanted), idf, threshold).filter("linked").select("a", "b"), "near-first")
+    roots = components(first)
+    edges = roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
+    return edges.unionByName(_closing(members, roots, wanted, idf, threshold))
+
+
+def _closing(members: DataFrame, roots: DataFrame, wanted: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): pairs of roots whose classes have linked members in one bucket."""
+    classed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lengths = wanted.select("key", F.octet_length("text").cast("long").alias("bytes"))
+    classed = stored(classed.join(lengths, "key"), "near-classed")
+    h = F.xxhash64("key")
+    groups = classed.groupBy("band", "n", "root").agg(
+        F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("y")
+    )
+    bands = groups.groupBy("band", "n").agg(
+        F.max(F.struct("size", "root", "bytes")).alias("top"), F.count("*").alias("classes"), F.sum("bytes").alias("bytes"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")
+    )
+    bands = bands.filter("classes > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "top", "bytes")).alias("s"))
+    blocks = lambda rows, size, most: F.greatest(F.lit(1), F.ceil(rows / F.lit(most)), F.ceil(size / F.lit(TILE_BYTES))).cast("int")
+    bands = bands.select(
+        F.col("s.band").alias("band"), "n", F.col("s.top.root").alias("largest"),
+        blocks(F.col("n") - F.col("s.top.size"), F.col("s.bytes") - F.col("s.top.bytes"), TILE_OTHERS).alias("n_o"), blocks(F.col("n"), F.col("s.bytes"), TILE_MEMBERS).alias("n_m"),
+    )
+    open_ = _by_band(classed.select("key", "band", "n", "root"), bands)
+    place = lambda n: F.pmod(F.xxhash64("key", F.lit(1)), F.col(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    others = open_.filter("root <> largest").select("key", "root", "band", place("n_o").alias("o"), F.explode(all_of("n_m")).alias("m"), F.lit(True).alias("other"))
+    all_members = open_.select("key", "root", "band", F.explode(all_of("n_o")).alias("o"), place("n_m").alias("m"), F.lit(False).alias("other"))
+    placed = others.unionByName(all_members).join(wanted, "key")
+    tiled = placed.select(F.struct("band", "o", "m").alias("tile"), "other", "key", "root", "text").repartition(F.col("tile")).sortWithinPartitions("tile")
+    tiled = tiled.select(F.concat_ws(",", "tile.band", "tile.o", "tile.m").alias("tile"), "other", "root", "text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = idf.value
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            found = _tile_links(held, weigh, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                # Tiles are held whole, several small ones together.
+                if held and row[0] != held[-1][0] and (size >= CHUNK_BYTES or len(held) >= CHUNK_DOCS // 2):
+                    yield out()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield out()
+
+    return tiled.mapInArrow(each, "a binary, b binary")
+
+
+def _tile_links(rows: list[tuple], weigh: np.ndarray, threshold: float) -> set[tuple[bytes, bytes]]:
+    """Linked pairs of roots from rows (tile, other, root, text) in order of tile."""
+    texts = list(dict.fromkeys(r[3] for r in rows))
+    number = {t: k for k, t in enumerate(texts)}
+    parts = [shingles(texts[k : k + CHUNK_DOCS]) for k in range(0, len(texts), CHUNK_DOCS)]
+    ids, tf = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    of = np.concatenate([p[2] + k * CHUNK_DOCS for k, p in enumerate(parts)])
+    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+    starts = np.flatnonzero([True, *(x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False))]).tolist()
+    found: set[tuple[bytes, bytes]] = set()
+    for start, end in zip(starts, [*starts[1:], len(rows)], strict=True):
+        sides = [[(number[t], root) for _, o, root, t in rows[start:end] if o == other] for other in (True, False)]
+        if not all(sides) or len({r for side in sides for _, r in side}) < 2:
+            continue
+        close = _close_pairs([[(ids[cuts[k] : cuts[k + 1]], tf[cuts[k] : cuts[k + 1]]) for k, _ in side] for side in sides], weigh, threshold)
+        names = [[r for _, r in side] for side in sides]
+        found.update((max(p), min(p)) for p in {(names[0][i], names[1][j]) for i, j in zip(*(x.tolist() for x in np.nonzero(close)), strict=True)} if p[0] != p[1])
+    return found
+
+
+def _close_pairs(sides: list[list[tuple[np.ndarray, np.ndarray]]], weigh: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether text i of the first side and j of the second have the similarity; texts are
+    (shingle ids, counts). A shingle that comes n times counts as n different tokens,
+    so a product of 0/1 matrices sums the lesser counts."""
+    tokens, docs, weights, plain, weighted = [], [], [], [], []
+    for side in sides:
+        ids = np.concatenate([x for x, _ in side])
+        tf = np.concatenate([n for _, n in side])
+        doc = np.repeat(np.arange(len(side)), [len(x) for x, _ in side])
+        w = weigh[bucket_of(ids)].astype(np.float64)
+        plain.append(np.bincount(doc, tf, len(side)))
+        weighted.append(np.bincount(doc, tf * w, len(side)))
+        again = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        tokens.append(mixed(np.repeat(ids, tf) + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        docs.append(np.repeat(doc, tf))
+        weights.append(np.repeat(w, tf))
+    shared, first = np.unique(tokens[0], return_index=True)
+    there = np.isin(shared, tokens[1])
+    shared, w = shared[there], weights[0][first[there]]
+    both, both_w = np.zeros((len(sides[0]), len(sides[1]))), np.zeros((len(sides[0]), len(sides[1])))
+    columns = [np.searchsorted(shared, t) for t in tokens]
+    known = [(c < len(shared)) & (shared[np.minimum(c, len(shared) - 1)] == t) if len(shared) else np.zeros(len(t), bool) for c, t in zip(columns, tokens, strict=True)]
+    for at in range(0, len(shared), TILE_COLUMNS):
+        halves = []
+        for side, c, k, d in zip(sides, columns, known, docs, strict=True):
+            inside = k & (c >= at) & (c < at + TILE_COLUMNS)
+            x = np.zeros((len(side), min(TILE_COLUMNS, len(shared) - at)))
+            x[d[inside], c[inside] - at] = 1
+            halves.append(x)
+        both += halves[0] @ halves[1].T
+        both_w += (halves[0] * w[at : at + TILE_COLUMNS]) @ halves[1].T
+    own = both / (plain[0][:, None] + plain[1] - both)
+    return np.maximum(own, both_w / (weighted[0][:, None] + weighted[1] - both_w)) >= threshold - 1e-9
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -345,7 +398,13 @@ def _is_stars(edges: DataFrame) -> bool:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key (of the text), class_id, class_size: one row for each document."""
+    """doc_id, key (of the text), class_id, class_size: one row for each document. It is
+    stored; the folders of the steps before it are gone when this returns."""
+    with scratch(docs.sparkSession) as made:
+        return kept(_classes(docs, threshold), "near-classes", made)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     texts = docs.select(key_of(body()).alias("key"), body().cast("binary").alias("text"))
     roots = components(links(texts, threshold))
     ids = stored(docs.select("doc_id", key_of(body()).alias("key")), "near-ids")
@@ -354,28 +413,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = keys.groupBy("root").agg(F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size"))
     # Only classes of several documents are looked up, each in SALTS copies, so that one
     # class or text with many documents does not meet in one task.
-    large = _salted(keys.select("key", "root"), sizes.filter("class_size > 1"), "root", "inner").select("key", "class_id", "class_size")
-    found = _salted(ids, large, "key", "left")
+    large = salted_join(keys.select("key", "root"), sizes.filter("class_size > 1"), "root", "inner").select("key", "class_id", "class_size")
+    found = salted_join(ids, large, "key", "left")
     return found.select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
-def _salted(rows: DataFrame, looked_up: DataFrame, on: str, how: str) -> DataFrame:
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    copies = looked_up.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")
-
-
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the least doc_id, with all its columns."""
-    found = stored(classes(docs, threshold), "near-classes")
+    found = classes(docs, threshold)
     drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     # Of rows with the same least id, one stays; ids are nearly always unique, so look first.
     again = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key"))).count().filter("count > 1")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key_of(body()).alias("_k"))
-    kept = keyed.join(drop, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
+    stays = keyed.join(drop, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
     if not again.isEmpty():
-        kept = kept.withColumn("_one", F.coalesce(F.col("row.doc_id").cast("string"), F.hex("_k"))).dropDuplicates(["_one"])
-    return kept.select("row.*")
+        stays = stays.withColumn("_one", F.coalesce(F.col("row.doc_id").cast("string"), F.hex("_k"))).dropDuplicates(["_one"])
+    return stays.select("row.*")
 
 
 def op5_near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
