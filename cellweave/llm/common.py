@@ -137,8 +137,18 @@ def salted_join(rows: DataFrame, looked_up: DataFrame, on: str, how: str = "inne
     return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")
 
 
-#: Runs of letters: what \\w takes, without digits, other numbers (such as ² or Ⅷ) and _.
-LETTERS = re.compile(r"[^\W\d_" + "".join(chr(c) for c in range(0x110000) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal()) + "]+")
+#: Runs of letters, in what `lowered` gives.
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def lowered(text: str) -> str:
+    """In lower case, with blanks for numbers that are no digits (such as ² or Ⅷ), which
+    LETTERS would take for letters."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    numbers = {ord(c): " " for c in set(text) if c.isnumeric() and not (c.isalpha() or c.isdecimal())}
+    return text.translate(numbers) if numbers else text
 
 
 def worker_cache() -> dict:
