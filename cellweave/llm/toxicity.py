@@ -2,8 +2,8 @@
 
 1. Lexicon. From labelled rows, words and word beginnings that stand in toxic
    texts far more often than in others. A term's evidence is in how many different contexts
-   (the word and its neighbours) it stands, one for each text, so that copies of one text
-   count once. A term enters by its own evidence alone: LEAST_CONTEXTS, LEAST_RATIO
+   (the word and its neighbours) it stands there, one for each text, so that copies of one
+   text count once; against it speaks every other text that holds the term. A term enters by its own evidence alone: LEAST_CONTEXTS, LEAST_RATIO
    and a log-likelihood ratio that makes a chance find among all candidates unlikely
    (CHANCE). No share of the toxic rows and no size of the lexicon is asked for, so more
    rows only add terms. What bounds it is the labelled rows that are fitted on.
@@ -28,6 +28,7 @@ each. An empty table gives none. Extra columns are ignored. Whole texts are read
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, fold, scratch, stored
+from .common import LETTERS, fold, lowered, scratch, stored
 from .quality_model import labelled
 
 FIT_ROWS = 60_000
@@ -67,7 +68,7 @@ TAKEN, OPENED = -1, -2
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    return LETTERS.findall(lowered(text))
 
 
 @dataclass
@@ -209,10 +210,8 @@ def _place(term: str) -> int:
     return zlib.crc32(term.encode()) % FILTER_BITS
 
 
-def _counted(rows: DataFrame, only: bytes | None) -> DataFrame:
-    """term, n: different contexts of the term in the rows, a word ("word ") or a beginning.
-    With `only`, a bitmap, terms whose place in it is not set are left out."""
-    sent = None if only is None else rows.sparkSession.sparkContext.broadcast(only)
+def _contexts(rows: DataFrame) -> DataFrame:
+    """term, n: different contexts of the term in the rows, a word ("word ") or a beginning."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], None] = {}
@@ -222,11 +221,7 @@ def _counted(rows: DataFrame, only: bytes | None) -> DataFrame:
 
         for b in batches:
             for t in b.column(0):
-                found = terms_of(t.as_py() or "")
-                if sent is not None:
-                    wanted = sent.value
-                    found = {x: c for x, c in found.items() if wanted[(p := _place(x)) >> 3] >> (p & 7) & 1}
-                held.update(dict.fromkeys(found.items()))
+                held.update(dict.fromkeys(terms_of(t.as_py() or "").items()))
                 if len(held) > 500_000:
                     yield out()
                     held.clear()
@@ -236,6 +231,32 @@ def _counted(rows: DataFrame, only: bytes | None) -> DataFrame:
     return found.groupBy("term", "context").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("n"))
 
 
+def _counted(rows: DataFrame, only: bytes) -> DataFrame:
+    """term, n: rows that hold the term, for terms whose place in the bitmap `only` is set."""
+    sent = rows.sparkSession.sparkContext.broadcast(only)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        wanted = sent.value
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+
+        for b in batches:
+            for t in b.column(0):
+                words = set(words_of(t.as_py() or ""))
+                terms = {w + " " for w in words}
+                for k in PREFIXES:
+                    terms.update(w[:k] for w in words if len(w) >= k)
+                held.update(x for x in terms if wanted[(p := _place(x)) >> 3] >> (p & 7) & 1)
+                if len(held) > 500_000:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    return rows.select("text").mapInArrow(each, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def _bitmap(terms: DataFrame) -> bytes:
     """FILTER_BITS bits, set at the places of the terms."""
     place = (F.crc32(F.col("term").cast("binary")) % FILTER_BITS + 1).alias("p")
@@ -254,7 +275,7 @@ def lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic:
         return []
-    ones = stored(_counted(rows.filter("y = 1"), None).filter(F.col("n") >= LEAST_CONTEXTS), "toxic-terms")
+    ones = stored(_contexts(rows.filter("y = 1")).filter(F.col("n") >= LEAST_CONTEXTS), "toxic-terms")
     candidates = ones.count()
     zeros = _counted(rows.filter("y = 0"), _bitmap(ones)).withColumnRenamed("n", "zeros")
     both = ones.join(zeros, "term", "left").fillna(0, ["zeros"])
@@ -292,7 +313,7 @@ def quoted(text: str, start: int, end: int) -> bool:
     opened = sum(before.count(q) for q in QUOTES)
     if opened % 2 and any(q in after for q in QUOTES):
         return True
-    return any(w in SAYING for w in LETTERS.findall(before.lower())[-3:])
+    return any(w in SAYING for w in LETTERS.findall(lowered(before))[-3:])
 
 
 FEATURES = ("log_abuse", "log_quoted", "log_misspelled", "share", "any")
@@ -312,7 +333,7 @@ def features(texts: list[str], lex: Automaton) -> np.ndarray:
     for d in np.unique(np.searchsorted(ends, hit_at, side="right")).tolist():
         own = kinds[ends[d] - counts[d] : ends[d]]
         n = [0, 0, 0]
-        low = texts[d].lower()
+        low = lowered(texts[d])
         for k, m in zip(own.tolist(), LETTERS.finditer(low), strict=True):
             if k:
                 n[1 if quoted(low, m.start(), m.end()) else 0 if k == EXACT else 2] += 1
