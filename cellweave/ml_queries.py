@@ -14,7 +14,7 @@ from .streaming.windows import bin_counts
 
 V.SQL["knn"] = (
     "near AS (SELECT src, dst, distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM (SELECT q.vec_id AS src, e.vec_id AS dst, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance "
-    "FROM embeddings q, embeddings e WHERE q.vec_id < 200 AND e.vec_id < 200 AND q.vec_id <> e.vec_id)) WHERE rank <= 8), "
+    "FROM embeddings q, embeddings e WHERE q.vec_id <> e.vec_id)) WHERE rank <= 8), "
     "half AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(1 / (1 + distance)) AS weight FROM near GROUP BY 1, 2), "
     "edges AS (SELECT a AS src, b AS dst, weight FROM half UNION ALL SELECT b, a, weight FROM half)"
 )
@@ -64,7 +64,7 @@ def knn_topk(spark, d):
 
 
 def _graph(spark, d):
-    e = _embeddings(spark, d).filter("cell_id < 200")
+    e = _embeddings(spark, d)
     return graph.symmetric(graph.nearest(e, 8)), e.select(F.col("cell_id").alias("node"), "label")
 
 
@@ -85,10 +85,22 @@ def cluster_centroids(spark, d):
     return _round(graph.centroids(points, e.select(F.col("cell_id").alias("node"), "label")), "x", "y")
 
 
-@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < 8 AND b.vec_id < 8", "")
+@query(
+    "WITH m AS (SELECT label, list(v ORDER BY k) AS v FROM (SELECT label, k, avg(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1, 2) GROUP BY 1) "
+    "SELECT a.label AS i, b.label AS j, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM m a, m b",
+    "",
+)
 def component_cosine(spark, d):
-    e = _embeddings(spark, d).filter("cell_id < 8").select(F.col("cell_id").alias("id"), "vector")
-    return _round(graph.cosine(e, e), "cosine")
+    """Of the labels' mean vectors, as a stand-in for two sets of components."""
+    x = _embeddings(spark, d).select("label", F.posexplode("vector").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v"))
+    m = x.groupBy(F.col("label").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("vector"))
+    return _round(graph.cosine(m, m), "cosine")
+
+
+@query()
+def knn_lists(spark, d):
+    """All rows' neighbours through inverted lists; recall is measured in the tests."""
+    return _round(graph.nearest_by_lists(_embeddings(spark, d), 8), "distance")
 
 
 def _family(name: str, sql: str, **params):
@@ -134,11 +146,6 @@ def _vectors(df):
     return df.withColumn("vector", F.transform("vector", lambda v: F.round(v, 4)))
 
 
-def _few(spark, d):
-    n = F.substring("feature_id", 2, 9).cast("int")
-    return V.counts(spark, d).withColumn("feature_id", F.concat(F.lit("f"), n % 40)).groupBy("cell_id", "feature_id").agg(F.sum("count").alias("count"))
-
-
 @query()
 def pca(spark, d):
     return _vectors(reduction.pca(reduction.log1p(reduction.normalized(V.counts(spark, d))), 5))
@@ -156,7 +163,7 @@ def lda(spark, d):
 
 @query()
 def glmpca(spark, d):
-    return _vectors(reduction.GLMPCA(3, "poisson", max_iter=10).fit(_few(spark, d)).transform())
+    return _vectors(reduction.GLMPCA(3, "poisson").fit(V.counts(spark, d)).transform())
 
 
 @query()

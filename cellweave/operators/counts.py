@@ -30,12 +30,15 @@ def count_features(reads: DataFrame, regions: DataFrame, exons: bool = False, bi
         targets = targets.select("chrom", F.col("x.start").alias("start"), F.col("x.end").alias("end"), "name", "f_start", "f_end", "exon")
     else:
         targets = regions.select("chrom", "start", "end", "name", F.col("start").alias("f_start"), F.col("end").alias("f_end"), F.lit(0).alias("exon"))
-    # A read's earlier blocks go along: a pair counts only if none of them meets the feature
-    # too, which makes a read count once without a distinct over all pairs.
-    parts = reads.select(cell_id().alias("cell_id"), "chrom", "blocks", F.posexplode("blocks").alias("block", "b"))
-    parts = parts.select("cell_id", "chrom", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.slice("blocks", F.lit(1), F.col("block")).alias("earlier"))
-    hits = overlap_join(parts, targets, tile=tile)
-    hits = hits.filter(~F.exists("earlier", lambda b: (b["start"] < F.col("r_end")) & (b["end"] > F.col("r_start"))))
+    # With a read's later blocks go its earlier ones: a pair counts only if none of them meets
+    # the feature too, which makes a read count once without a distinct over all pairs.
+    bounds = [F.col("b.start").alias("start"), F.col("b.end").alias("end")]
+    parts = reads.select(cell_id().alias("cell_id"), "chrom", F.col("blocks")[0].alias("b")).filter("b is not null").select("cell_id", "chrom", *bounds)
+    rest = reads.filter(F.size("blocks") > 1).select(cell_id().alias("cell_id"), "chrom", "blocks", F.posexplode("blocks").alias("block", "b")).filter("block > 0")
+    rest = rest.select("cell_id", "chrom", *bounds, F.slice("blocks", F.lit(1), F.col("block")).alias("earlier"))
+    rest = overlap_join(rest, targets, tile=tile)
+    rest = rest.filter(~F.exists("earlier", lambda b: (b["start"] < F.col("r_end")) & (b["end"] > F.col("r_start")))).drop("earlier")
+    hits = overlap_join(parts, targets, tile=tile).unionByName(rest)
     out = hits.groupBy("cell_id", "chrom", F.col("r_f_start").alias("start"), F.col("r_f_end").alias("end"), F.col("r_name").alias("name"))
     out = out.agg(F.count("*").cast("double").alias("count"))
     return out.withColumn("count", F.lit(1.0)) if binarize else out

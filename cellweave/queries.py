@@ -170,12 +170,12 @@ def fragments_extend(spark, d):
 
 
 @query(
-    "SELECT query_name, CASE WHEN x.\"end\" > x.start THEN ((x.start + x.\"end\") // 2 - query_len // 2) || '-' || ((x.start + x.\"end\") // 2 - query_len // 2 + query_len) ELSE '' END AS blocks FROM (SELECT query_name, query_len, CASE WHEN "
+    "SELECT query_name, CASE WHEN x.\"end\" > x.start THEN (floor((x.start + x.\"end\") / 2)::BIGINT - query_len // 2) || '-' || (floor((x.start + x.\"end\") / 2)::BIGINT - query_len // 2 + query_len) ELSE '' END AS blocks FROM (SELECT query_name, query_len, CASE WHEN "
     + PROPER_SQL.format(most=600) + " THEN CASE WHEN flag & 16 = 16 THEN {'start': mate_start, 'end': \"end\"} ELSE {'start': start, 'end': start + abs(tlen)} END "
-    "ELSE CASE WHEN flag & 16 = 16 THEN {'start': \"end\" - 150, 'end': \"end\"} ELSE {'start': start, 'end': start + 150} END END AS x FROM reads WHERE start > 400)"
+    "ELSE CASE WHEN flag & 16 = 16 THEN {'start': \"end\" - 150, 'end': \"end\"} ELSE {'start': start, 'end': start + 150} END END AS x FROM reads)"
 )
 def fragments_center(spark, d):
-    x = V.reads(spark, d).filter("start > 400")
+    x = V.reads(spark, d)
     return _strings(x.select("query_name", fragments.centred(150).alias("blocks")), "blocks")
 
 
@@ -291,21 +291,21 @@ def sum_bases(spark, d):
 
 @query(
     f"SELECT cell_id, chrom, start, \"end\", name, count(*)::DOUBLE AS count FROM (SELECT DISTINCT {CELL} AS cell_id, r.query_name, f.chrom, f.start, f.\"end\", f.name FROM "
-    f"(SELECT *, unnest(blocks) AS b FROM reads WHERE {FILTER_SQL} AND bc < 'BC3') r JOIN regions f ON r.chrom = f.chrom AND r.b.start < f.\"end\" AND r.b.\"end\" > f.start) GROUP BY ALL",
+    f"(SELECT *, unnest(blocks) AS b FROM reads WHERE {FILTER_SQL}) r JOIN regions f ON r.chrom = f.chrom AND r.b.start < f.\"end\" AND r.b.\"end\" > f.start) GROUP BY ALL",
     "reads regions",
 )
 def features_count(spark, d):
-    return counts.count_features(P.read_filter(V.reads(spark, d), FILTER).filter("bc < 'BC3'"), V.regions(spark, d))
+    return counts.count_features(P.read_filter(V.reads(spark, d), FILTER), V.regions(spark, d))
 
 
 @query(
     f"SELECT cell_id, chrom, start, \"end\", name, count(*)::DOUBLE AS count FROM (SELECT DISTINCT {CELL} AS cell_id, r.query_name, f.chrom, f.start, f.\"end\", f.name, f.x FROM "
-    f"(SELECT *, unnest(blocks) AS b FROM reads WHERE {FILTER_SQL} AND bc < 'BC3') r JOIN (SELECT *, unnest(exons) AS x FROM regions) f ON r.chrom = f.chrom AND r.b.start < f.x.\"end\" AND r.b.\"end\" > f.x.start) "
+    f"(SELECT *, unnest(blocks) AS b FROM reads WHERE {FILTER_SQL}) r JOIN (SELECT *, unnest(exons) AS x FROM regions) f ON r.chrom = f.chrom AND r.b.start < f.x.\"end\" AND r.b.\"end\" > f.x.start) "
     "GROUP BY cell_id, chrom, start, \"end\", name",
     "reads regions",
 )
 def features_exons(spark, d):
-    return counts.count_features(P.read_filter(V.reads(spark, d), FILTER).filter("bc < 'BC3'"), V.regions(spark, d), exons=True)
+    return counts.count_features(P.read_filter(V.reads(spark, d), FILTER), V.regions(spark, d), exons=True)
 
 
 @query("SELECT chrom, s AS start, least(s + 100, \"end\") AS \"end\", name, strand FROM (SELECT *, unnest(range(start, \"end\", 100)) AS s FROM regions)", "regions")
@@ -599,11 +599,11 @@ def remove_zero_rows(spark, d):
 
 
 @query(
-    "SELECT cell_id, feature_id, coalesce(count, 0) AS count FROM (SELECT * FROM (SELECT DISTINCT cell_id FROM counts WHERE cell_id < 'F::BC2'), (SELECT DISTINCT feature_id FROM counts)) LEFT JOIN counts USING (cell_id, feature_id)", "counts"
+    "SELECT cell_id, feature_id, coalesce(count, 0) AS count FROM (SELECT * FROM (SELECT DISTINCT cell_id FROM counts), (SELECT DISTINCT feature_id FROM counts)) LEFT JOIN counts USING (cell_id, feature_id)", "counts"
 )
 def zero_fill(spark, d):
     c = V.counts(spark, d)
-    return counts.zero_filled(c, c.filter("cell_id < 'F::BC2'"), c)
+    return counts.zero_filled(c, c, c)
 
 
 @query("SELECT feature_id, quantile_cont(count, 0.5) AS median FROM counts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25", "counts")
@@ -632,22 +632,64 @@ def combine_samples(spark, d):
 def _modalities(spark, d):
     c = V.counts(spark, d)
     n = F.substring("feature_id", 2, 9).cast("int")
-    return combine.with_modality({"rna": c.filter(n % 40 == 0), "atac": c.filter(n % 40 == 1)})
+    return combine.with_modality({"rna": c.filter(n % 2 == 0), "atac": c.filter(n % 2 == 1)})
 
 
-@query("SELECT cell_id, array_to_string(list_sort(list_distinct(list(CASE WHEN substring(feature_id, 2)::INT % 40 = 0 THEN 'rna' ELSE 'atac' END))), ',') AS modalities FROM counts WHERE substring(feature_id, 2)::INT % 40 < 2 GROUP BY cell_id", "counts")
+@query("SELECT cell_id, array_to_string(list_sort(list_distinct(list(CASE WHEN substring(feature_id, 2)::INT % 2 = 0 THEN 'rna' ELSE 'atac' END))), ',') AS modalities FROM counts GROUP BY cell_id", "counts")
 def combine_modalities(spark, d):
     return combine.modality_cells(_modalities(spark, d)).withColumn("modalities", F.array_join("modalities", ","))
 
 
-@query("SELECT cell_id FROM counts WHERE substring(feature_id, 2)::INT % 40 = 0 INTERSECT SELECT cell_id FROM counts WHERE substring(feature_id, 2)::INT % 40 = 1", "counts")
+@query("SELECT cell_id FROM counts WHERE substring(feature_id, 2)::INT % 2 = 0 INTERSECT SELECT cell_id FROM counts WHERE substring(feature_id, 2)::INT % 2 = 1", "counts")
 def common_barcodes(spark, d):
     return combine.common_cells(_modalities(spark, d))
 
 
-@query("SELECT bc FROM reads WHERE mapq = 0 UNION SELECT bc FROM barcodes", "reads barcodes")
+@query("SELECT bc FROM reads UNION SELECT bc FROM barcodes", "reads barcodes")
 def all_barcodes(spark, d):
-    return combine.all_barcodes(V.reads(spark, d).filter("mapq = 0"), V.barcodes(spark, d))
+    return combine.all_barcodes(V.reads(spark, d), V.barcodes(spark, d))
+
+
+@query("SELECT DISTINCT bc FROM reads", "reads")
+def observed_barcodes(spark, d):
+    return P.observed_barcodes(V.reads(spark, d))
+
+
+@query("SELECT bc FROM barcodes WHERE substring(bc, 3)::INT % 2 = 0", "barcodes")
+def selected_barcodes(spark, d):
+    x = V.barcodes(spark, d).select(F.col("bc").alias("barcode"), (F.substring("bc", 3, 9).cast("int") % 2 == 0).alias("selected"))
+    return P.selected_barcodes(x)
+
+
+@query("SELECT query_name, len AS aligned FROM reads")
+def read_lengths(spark, d):
+    return V.reads(spark, d).select("query_name", P.read_length().alias("aligned"))
+
+
+@query("SELECT cell_id, feature_id, CASE WHEN count = 1 THEN 'nan'::DOUBLE ELSE count - 1 END AS count FROM counts", "counts")
+def zeros_to_nan(spark, d):
+    return counts.zeros_to_nan(V.counts(spark, d).withColumn("count", F.col("count") - 1))
+
+
+@query(
+    "SELECT feature_id, r.chrom, r.start, r.\"end\" FROM (SELECT DISTINCT feature_id FROM counts) LEFT JOIN (SELECT 'f' || split_part(name, '.', 2) AS feature_id, chrom, start, \"end\" FROM regions) r USING (feature_id)", "counts regions"
+)
+def feature_positions(spark, d):
+    known = V.regions(spark, d).select(F.concat(F.lit("f"), F.split("name", r"\.")[1]).alias("feature_id"), "chrom", "start", "end")
+    return combine.with_positions(V.counts(spark, d).select("feature_id").distinct(), known)
+
+
+@query("SELECT cell_id, cluster FROM (SELECT DISTINCT cell_id FROM counts) LEFT JOIN (SELECT sample || '::' || barcode AS cell_id, cluster FROM groups) USING (cell_id)", "counts groups")
+def cell_metadata(spark, d):
+    known = V.groups(spark, d).select(cell_id("sample", "barcode").alias("cell_id"), "cluster")
+    return combine.with_metadata(V.counts(spark, d).select("cell_id").distinct(), known)
+
+
+@query(
+    "SELECT bc, max(CASE WHEN sample = 'F' THEN n END) AS \"F\", max(CASE WHEN sample = 'O' THEN n END) AS \"O\" FROM (SELECT bc, sample, count(*) AS n FROM reads GROUP BY 1, 2) GROUP BY bc"
+)
+def reads_by_sample(spark, d):
+    return combine.wide(V.reads(spark, d).groupBy("bc", "sample").agg(F.count("*").alias("n")), "bc", "sample", "n")
 
 
 @query("SELECT chrom, length FROM contigs WHERE chrom <> 'chrR'", "contigs")
