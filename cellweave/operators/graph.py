@@ -2,63 +2,128 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..storage import checkpointed
 
-#: Query vectors in one broadcast block, 8 MB at 256 dimensions.
-BLOCK_ROWS = 4_096
+#: Queries and rows of one block, some 8 and 32 MB at 256 dimensions.
+BLOCK_ROWS, ROW_BLOCK = 4_096, 16_384
+#: Rows that lists are fitted on, at most, and rows that a list should hold.
+SAMPLE_ROWS, LIST_ROWS = 20_000, 256
+
+
+def _closest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
+    """src, dst, distance: for each of q (i, v) the k nearest of r (j, w) by another id, and
+    all ties."""
+    empty = pd.DataFrame({"src": q["i"].iloc[:0], "dst": r["j"].iloc[:0], "distance": np.zeros(0)})
+    if not len(q) or not len(r):
+        return empty
+    names, own = q["i"].to_numpy(), r["j"].to_numpy()
+    a, m = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(r["w"].to_numpy()).astype(np.float64)
+    out = []
+    step = max(1, 4_000_000 // len(own))
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        d = np.maximum((part**2).sum(axis=1)[:, None] + (m**2).sum(axis=1) - 2 * part @ m.T, 0)
+        keep = min(k + 1, len(own))
+        near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+        # Ties at the edge count too: all rows as near as the last one kept, but for rounding.
+        edge = np.take_along_axis(d, near, axis=1).max(axis=1)
+        src, dst = np.nonzero(d <= edge[:, None] * (1 + 1e-9) + 1e-12)
+        exact = np.sqrt(((part[src] - m[dst]) ** 2).sum(axis=1))
+        out.append(pd.DataFrame({"src": names[at : at + step][src], "dst": own[dst], "distance": exact}))
+    found = pd.concat(out)
+    return found[found["src"] != found["dst"]]
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("src").orderBy("distance", "dst")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _pair(df: DataFrame, id: str, vector: str) -> DataFrame:
+    return df.select(F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, id: str = "cell_id", vector: str = "vector") -> DataFrame:  # M17, O7
     """src, dst, distance, rank: for each query (all rows by default) its k nearest other
     rows by Euclidean distance, exactly; ties by id.
 
-    The queries go out in blocks of BLOCK_ROWS; a task meets one block at a time and keeps
-    k candidates for each query, which are merged by rank. Work is queries x rows,
-    the traffic queries x k for each partition.
+    Blocks of queries meet blocks of rows through a shuffle, so neither the driver nor a task
+    holds more than one of each; each pair of blocks keeps k candidates a query. Work is
+    queries x rows: for the neighbours of all rows of a large table see nearest_by_lists.
     """
-    spark = vectors.sparkSession
-    rows = (queries if queries is not None else vectors).select(F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    blocks, ids, block = [], [], []
-
-    def send() -> None:
-        blocks.append(spark.sparkContext.broadcast((list(ids), np.array(block, np.float64))))
-        ids.clear()
-        block.clear()
-
-    for r in rows.toLocalIterator():
-        ids.append(r["i"])
-        block.append(r["v"])
-        if len(ids) >= BLOCK_ROWS:
-            send()
-    if ids:
-        send()
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            own, m = f["i"].to_numpy(), np.stack(f["v"].to_numpy()).astype(np.float64) if len(f) else np.zeros((0, 1))
-            if not len(f):
-                continue
-            for names, q in (b.value for b in blocks):
-                d = np.maximum((q**2).sum(axis=1)[:, None] + (m**2).sum(axis=1) - 2 * q @ m.T, 0)
-                keep = min(k + 1, len(own))
-                at = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                # Ties at the edge count too: all rows as near as the last one kept.
-                edge = np.take_along_axis(d, at, axis=1).max(axis=1)
-                src, dst = np.nonzero(d <= edge[:, None])
-                exact = np.sqrt(((q[src] - m[dst]) ** 2).sum(axis=1))
-                yield pd.DataFrame({"src": np.asarray(names, dtype=own.dtype)[src], "dst": own[dst], "distance": exact})
+    rows = _pair(vectors, id, vector)
+    asked = rows if queries is None else _pair(queries, id, vector)
+    n_q, n_r = max(1, -(-asked.count() // BLOCK_ROWS)), max(1, -(-rows.count() // ROW_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("_q", block(n_q)).withColumn("_r", every(n_r))
+    r = rows.select(F.col("i").alias("j"), F.col("v").alias("w"), block(n_r).alias("_r"), every(n_q).alias("_q"))
+    kind = vectors.schema[id].dataType.simpleString()
+    near = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInPandas(lambda a, b: _closest(a, b, k), f"src {kind}, dst {kind}, distance double")
+    return _best(near, k)
 
+
+def nearest_by_lists(vectors: DataFrame, k: int, id: str = "cell_id", vector: str = "vector", probes: int | None = None, seed: int = 42) -> DataFrame:  # M17
+    """src, dst, distance, rank: about the k nearest other rows of every row.
+
+    Centres of some rows / LIST_ROWS lists are fitted on SAMPLE_ROWS rows at most (all where
+    there are fewer), chosen by hash; every row stands in the list of its nearest centre and
+    asks the `probes` nearest lists (by default a fifth of them, 8 at least). Lists are split
+    in blocks as `nearest` does, so a crowded list never meets in one task. Work is rows x
+    probes x LIST_ROWS.
+    """
+    rows = checkpointed(_pair(vectors, id, vector).filter("i is not null and v is not null"))
+    n = rows.count()
     kind = vectors.schema[id].dataType.simpleString()
-    near = vectors.select(F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(each, f"src {kind}, dst {kind}, distance double")
-    w = Window.partitionBy("src").orderBy("distance", "dst")
-    return near.filter("src <> dst").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    schema = f"src {kind}, dst {kind}, distance double"
+    if not n:
+        return _best(vectors.sparkSession.createDataFrame([], schema), k)
+    share = int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))
+    some = rows.filter(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30)) < share).orderBy("i").select("v").toPandas()
+    centres = _centres(np.stack(some["v"].to_numpy()), max(1, min(n // LIST_ROWS, SAMPLE_ROWS // 40)), seed)
+    probes = min(len(centres), probes or max(8, len(centres) // 5))
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    @pandas_udf("array<int>")
+    def lists(v: pd.Series) -> pd.Series:
+        c, out = sent.value, []
+        for at in range(0, len(v), 4096):
+            m = np.stack(v.iloc[at : at + 4096].to_numpy())
+            d = (c**2).sum(axis=1) - 2 * m @ c.T
+            out += np.argsort(d, axis=1, kind="stable")[:, :probes].tolist()
+        return pd.Series(out)
+
+    placed = checkpointed(rows.withColumn("_lists", lists("v")))
+    sizes = placed.groupBy(F.col("_lists")[0].alias("_list")).agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("n_r"))
+    asked = placed.select(F.explode("_lists").alias("_list")).groupBy("_list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_q"))
+    # A row for each list, some thousands at most.
+    plan = F.broadcast(sizes.join(asked, "_list"))
+    block = lambda c: F.pmod(F.xxhash64("i"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    q = placed.select("i", "v", F.explode("_lists").alias("_list")).join(plan, "_list").select("i", "v", "_list", block("n_q").alias("_q"), every("n_r").alias("_r"))
+    r = placed.select("i", "v", F.col("_lists")[0].alias("_list")).join(plan, "_list").select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("_list").alias("_list"), block("n_r").alias("_r"), every("n_q").alias("_q"))
+    keys = ["_list", "_q", "_r"]
+    return _best(q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(lambda a, b: _closest(a, b, k), schema), k)
+
+
+def _centres(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """k-means on a sample that is in memory; a centre without rows stays where it was."""
+    centres = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([((centres**2).sum(axis=1) - 2 * x[at : at + 4096] @ centres.T).argmin(axis=1) for at in range(0, len(x), 4096)])
+        many = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centres)
+    return centres
 
 
 def symmetric(neighbours: DataFrame) -> DataFrame:
