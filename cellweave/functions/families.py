@@ -1,14 +1,15 @@
 """Exponential families in numpy (M16): density h(x) exp(T(x) . eta(theta) - A(theta)).
 
-Parameters broadcast over rows; `params` holds what is fitted per feature. Fits are by
-moments (no optimiser is at hand): Beta's nu = m (1 - m) / v - 1, Gamma's rate = m / v.
+Parameters broadcast over rows; `params` holds what is fitted per feature, by maximum
+likelihood (Newton's method from the moments) or by moments: Beta's nu = m (1 - m) / v - 1,
+Gamma's rate = m / v. Either needs only means of x, x squared and the statistics.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .special import bisect, digamma, lgamma
+from .special import bisect, digamma, lgamma, trigamma
 
 
 class Family:
@@ -37,7 +38,17 @@ class Family:
         """The parameter at which the density of x is greatest."""
         raise NotImplementedError
 
-    def fit(self, x) -> Family:
+    def gradient(self, x, theta) -> np.ndarray:
+        """Derivative of the loss: of the log-partition less that of T(x) . eta."""
+        return self.mean(theta) - np.asarray(x, float)
+
+    def fit(self, x, method: str = "mle") -> Family:
+        """The parameters of each column of x."""
+        x = np.asarray(x, float)
+        return self.fit_means(x.mean(axis=0), (x**2).mean(axis=0), [t.mean(axis=0) for t in self.statistics(x)], method)
+
+    def fit_means(self, mean, square, statistics, method: str = "mle") -> Family:
+        """The same from the means of x, x squared and the statistics."""
         return self
 
     def log_density(self, x, theta) -> np.ndarray:
@@ -114,7 +125,15 @@ class Beta(Family):
         return np.clip(np.asarray(x, float), self.eps, 1 - self.eps)
 
     def _mean(self, theta):
-        return np.asarray(theta, float)
+        return np.clip(np.asarray(theta, float), 1e-9, 1 - 1e-9)
+
+    def _slope(self, theta):
+        return 1.0
+
+    def gradient(self, x, theta):
+        a, b = self.natural(theta)
+        u, v = self.statistics(x)
+        return self.params.get("nu", 1.0) * (digamma(a) - digamma(b) - u + v) * self._slope(theta)
 
     def statistics(self, x):
         x = self._x(x)
@@ -132,10 +151,24 @@ class Beta(Family):
         a, b = self.statistics(x)
         return -a - b
 
-    def fit(self, x):
-        x = np.asarray(x, float)
-        m, v = x.mean(axis=0), x.var(axis=0)
-        self.params["nu"] = np.maximum(m * (1 - m) / np.maximum(v, 1e-12) - 1, 1e-3)
+    def fit_means(self, mean, square, statistics, method="mle"):
+        m = np.clip(np.asarray(mean, float), self.eps, 1 - self.eps)
+        nu = np.maximum(m * (1 - m) / np.maximum(square - np.asarray(mean) ** 2, 1e-12) - 1, 1e-3)
+        if method == "mle":
+            # digamma(a) - digamma(a + b) = mean ln x, and b with ln (1 - x).
+            a, b = m * nu, (1 - m) * nu
+            for _ in range(100):
+                f = digamma(a) - digamma(a + b) - statistics[0], digamma(b) - digamma(a + b) - statistics[1]
+                p, q, r = trigamma(a), trigamma(b), trigamma(a + b)
+                det = p * q - (p + q) * r
+                step = ((q - r) * f[0] + r * f[1]) / det, (r * f[0] + (p - r) * f[1]) / det
+                new = np.maximum(a - step[0], a / 4), np.maximum(b - step[1], b / 4)
+                done = max(np.abs(new[0] / a - 1).max(initial=0), np.abs(new[1] / b - 1).max(initial=0)) < 1e-10
+                a, b = np.minimum(new[0], 1e8), np.minimum(new[1], 1e8)
+                if done:
+                    break
+            nu = a + b
+        self.params["nu"] = nu
         return self
 
     def inverse_link(self, x):
@@ -150,7 +183,11 @@ class SigmoidBeta(Beta):
     name = "sigmoid_beta"
 
     def _mean(self, theta):
-        return 1 / (1 + np.exp(-np.asarray(theta, float)))
+        return np.clip(1 / (1 + np.exp(-np.asarray(theta, float))), 1e-9, 1 - 1e-9)
+
+    def _slope(self, theta):
+        t = self._mean(theta)
+        return t * (1 - t)
 
     def inverse_link(self, x):
         t = super().inverse_link(x)
@@ -166,17 +203,31 @@ class Gamma(Family):
         x = np.asarray(x, float)
         return np.log(np.maximum(x, 1e-300)), x
 
+    def _shape(self, theta):
+        return np.maximum(np.asarray(theta, float) + 1, 1e-6)
+
     def natural(self, theta):
-        theta = np.asarray(theta, float)
-        return theta, -self.params.get("nu", 1.0) * np.ones_like(theta)
+        shape = self._shape(theta)
+        return shape - 1, -self.params.get("nu", 1.0) * np.ones_like(shape)
 
     def partition(self, theta):
-        theta = np.asarray(theta, float)
-        return lgamma(theta + 1) - (theta + 1) * np.log(self.params.get("nu", 1.0))
-
-    def fit(self, x):
-        x = np.asarray(x, float)
-        self.params["nu"] = x.mean(axis=0) / np.maximum(x.var(axis=0), 1e-12)
+        shape = self._shape(theta)
+        return lgamma(shape) - shape * np.log(self.params.get("nu", 1.0))
+
+    def gradient(self, x, theta):
+        return digamma(self._shape(theta)) - np.log(self.params.get("nu", 1.0)) - self.statistics(x)[0]
+
+    def fit_means(self, mean, square, statistics, method="mle"):
+        mean = np.maximum(np.asarray(mean, float), 1e-12)
+        nu = mean / np.maximum(square - mean**2, 1e-12)
+        if method == "mle":
+            # ln k - digamma(k) = s for the shape k; the rate is k / mean.
+            s = np.maximum(np.log(mean) - statistics[0], 1e-9)
+            k = (3 - s + np.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
+            for _ in range(50):
+                k = np.maximum(k - (np.log(k) - digamma(k) - s) / (1 / k - trigamma(k)), k / 4)
+            nu = k / mean
+        self.params["nu"] = nu
         return self
 
     def inverse_link(self, x):
@@ -206,8 +257,12 @@ class LogNormal(Family):
     def log_base(self, x):
         return -self._ln(x) - np.log(2 * np.pi) / 2
 
-    def fit(self, x):
-        self.params["nu"] = np.maximum(self._ln(x).std(axis=0), 1e-6)
+    def gradient(self, x, theta):
+        return (np.asarray(theta, float) - self._ln(x)) / self.params.get("nu", 1.0) ** 2
+
+    def fit_means(self, mean, square, statistics, method="mle"):
+        """Moments of ln x are its maximum likelihood."""
+        self.params["nu"] = np.sqrt(np.maximum(statistics[1] - np.asarray(statistics[0]) ** 2, 1e-12))
         return self
 
     def inverse_link(self, x):

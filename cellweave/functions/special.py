@@ -30,6 +30,18 @@ def digamma(x) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - series
 
 
+def trigamma(x) -> np.ndarray:
+    """Derivative of digamma, the same way; the series' terms are those above times 2k x^-1."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (low := x < 6).any():
+        out = np.where(low, out + 1 / np.where(low, x, 1) ** 2, out)
+        x = np.where(low, x + 1, x)
+    inv = 1 / (x * x)
+    series = sum(2 * (k + 1) * c * inv ** (k + 1) for k, c in enumerate(_SERIES)) / x
+    return out + 1 / x + inv / 2 + series
+
+
 def bisect(f, low: np.ndarray, high: np.ndarray, steps: int = 100, eps: float = 1e-9) -> np.ndarray:
     """Roots of an increasing f, element by element."""
     low, high = np.array(low, float), np.array(high, float)

@@ -134,68 +134,122 @@ def coherence(counts: DataFrame, tops: DataFrame, eps: float = 1.0) -> DataFrame
     return y.groupBy("topic").agg(F.avg(F.ln((F.coalesce("n", F.lit(0)) + eps) / F.col("d"))).alias("u_mass"))
 
 
-class GLMPCA:  # M9-M15
+class GLMPCA:  # M9-M14
     """Loadings V (features x k, orthonormal) and intercept b that minimise the negative
     log-likelihood of P = (theta - b) V V' + b, theta the saturated parameters.
 
     Rows never leave their partitions. An epoch sends V and b out, sums the gradients
     as rows (feature, values) by a combining aggregate, steps by Adagrad and returns to
     the orthonormal matrices by QR. On a loss that is not finite it starts anew with a
-    smaller rate. Gradients: E = mean(P) - X; dV = (theta - b)' E V + E' (theta - b) V;
-    db = sum over rows of E - E V V'.
+    smaller rate. Gradients: E = the family's at (X, P); dV = (theta - b)' E V + E' (theta - b) V;
+    db = sum over rows of E - E V V'. It ends after max_iter epochs, or when PATIENCE epochs
+    better the loss by less than tol of itself.
+
+    Before, the family's parameters are fitted to each feature, and b starts at the link of
+    the feature's mean, for counts of its median (zeros count in either). V starts at the
+    leading directions of theta - b ("spectral", by subspace iteration) or at random; of
+    n_init descents, all but the first at random, the best is kept. Rows are dense
+    in a block of BLOCK cells only, as the link of 0 is not 0.
     """
 
-    def __init__(self, n_pc: int, family: str = "gaussian", max_iter: int = 100, learning_rate: float = 0.2, step_size: int = 20, gamma: float = 0.5, n_init: int = 1, seed: int = 42):
+    BLOCK, PATIENCE, PASSES = 256, 5, 4
+
+    def __init__(
+        self, n_pc: int, family: str = "gaussian", max_iter: int = 100, learning_rate: float = 0.2, step_size: int = 20, gamma: float = 0.5, n_init: int = 1, seed: int = 42,
+        init: str = "spectral", method: str = "mle", tol: float = 1e-4,
+    ):
         self.n_pc, self.family, self.max_iter = n_pc, FAMILIES[family](), max_iter
         self.rate, self.step_size, self.gamma, self.n_init, self.seed = learning_rate, step_size, gamma, n_init, seed
+        self.init, self.method, self.tol = init, method, tol
         self.losses: list[float] = []
 
-    def _epoch(self, rows: DataFrame, n: int, v: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        family, k = self.family, self.n_pc
-        sent = rows.sparkSession.sparkContext.broadcast((v, b))
+    def _sums(self, rows: DataFrame, n: int, columns: int, add) -> np.ndarray:
+        """Sum over blocks x (cells x n, dense) of add(x), n + 1 rows of `columns` values."""
 
         def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v, b = sent.value
-            total, dv, db = 0.0, np.zeros((n, k)), np.zeros(n)
+            total = np.zeros((n + 1, columns))
             for f in frames:
-                for at in range(0, len(f), 256):
-                    part = f.iloc[at : at + 256]
+                for at in range(0, len(f), GLMPCA.BLOCK):
+                    part = f.iloc[at : at + GLMPCA.BLOCK]
                     x = np.zeros((len(part), n))
                     for r, (i, val) in enumerate(zip(part["idx"], part["val"], strict=True)):
                         x[r, np.asarray(i, int)] = val
-                    t = family.inverse_link(x) - b
-                    p = t @ v @ v.T + b
-                    e = family.mean(p) - x
-                    total += family.loss(x, p)
-                    dv += t.T @ (e @ v) + e.T @ (t @ v)
-                    db += (e - e @ v @ v.T).sum(axis=0)
-            out = np.column_stack((dv, db))
-            yield pd.DataFrame({"j": np.append(np.arange(n), -1), "g": [*out.tolist(), [total] * (k + 1)]})
+                    total += add(x)
+            yield pd.DataFrame({"j": np.arange(n + 1), "g": total.tolist()})
 
         parts = rows.mapInPandas(each, "j int, g array<double>")
-        sums = parts.groupBy("j").agg(F.array(*[F.sum(F.col("g")[c]) for c in range(k + 1)]).alias("g")).toPandas().sort_values("j")
-        g = np.array(sums["g"].tolist())
-        return float(g[0, 0]), g[1:, :k], g[1:, k]
+        sums = parts.groupBy("j").agg(F.array(*[F.sum(F.col("g")[c]) for c in range(columns)]).alias("g")).toPandas().sort_values("j")
+        return np.array(sums["g"].tolist())
+
+    def _epoch(self, rows: DataFrame, n: int, v: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        family, k = self.family, self.n_pc
+        sent = rows.sparkSession.sparkContext.broadcast((v, b))
+
+        def add(x: np.ndarray) -> np.ndarray:
+            v, b = sent.value
+            t = family.inverse_link(x) - b
+            p = t @ v @ v.T + b
+            e = family.gradient(x, p)
+            own = np.column_stack((t.T @ (e @ v) + e.T @ (t @ v), (e - e @ v @ v.T).sum(axis=0)))
+            return np.vstack((own, np.full(k + 1, family.loss(x, p))))
+
+        g = self._sums(rows, n, k + 1, add)
+        return float(g[n, 0]), g[:n, :k], g[:n, k]
+
+    def _spectral(self, rows: DataFrame, n: int, b: np.ndarray, rng) -> np.ndarray:  # M10
+        """The leading right singular vectors of theta - b."""
+        family, width = self.family, min(n, self.n_pc + 8)
+        q = np.linalg.qr(rng.normal(size=(n, width)))[0]
+        for _ in range(self.PASSES):
+            sent = rows.sparkSession.sparkContext.broadcast(q)
+
+            def add(x: np.ndarray, sent=sent) -> np.ndarray:
+                t = family.inverse_link(x) - b
+                return np.vstack((t.T @ (t @ sent.value), np.zeros(width)))
+
+            y = self._sums(rows, n, width, add)[:n]
+            values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+            last = q @ turn[:, ::-1]
+            q = np.linalg.qr(y)[0]
+        return np.linalg.qr(last[:, : self.n_pc])[0]
+
+    def _start(self, rows: DataFrame, n: int, cells: int) -> np.ndarray:  # M11
+        """Fits the family; the first intercept."""
+        family = self.family
+
+        def add(x: np.ndarray) -> np.ndarray:
+            own = np.column_stack((x.sum(axis=0), (x**2).sum(axis=0), *[t.sum(axis=0) for t in family.statistics(x)]))
+            return np.vstack((own, np.zeros(own.shape[1])))
+
+        columns = 2 + len(family.statistics(np.zeros((1, 1))))
+        means = self._sums(rows, n, columns, add)[:n] / max(cells, 1)
+        family.fit_means(means[:, 0], means[:, 1], list(means.T[2:]), self.method)
+        middle = means[:, 0]
+        if family.name == "poisson":
+            x = rows.select(F.explode(F.arrays_zip("idx", "val")).alias("x")).select("x.idx", F.col("x.val").cast("double").alias("val"), F.lit(1).cast("long").alias("n"))
+            zeros = x.groupBy("idx").agg(F.lit(0.0).alias("val"), (cells - F.count("*")).alias("n")).filter("n > 0")
+            medians = x.unionByName(zeros).groupBy("idx").agg(F.percentile("val", F.lit(0.5), F.col("n")).alias("m")).toPandas()
+            middle = np.zeros(n)
+            middle[medians["idx"]] = medians["m"]
+        return family.inverse_link(np.clip(middle, 1e-3, 1 - 1e-3) if family.name == "bernoulli" else middle)
 
     def fit(self, counts: DataFrame) -> GLMPCA:
         rows, n = cell_rows(counts)
         rows = checkpointed(rows)
         cells = rows.count()
-        nonzero = rows.select(F.explode(F.arrays_zip("idx", "val")).alias("x")).groupBy(F.col("x.idx").alias("idx")).agg(F.sum("x.val").alias("s")).toPandas()
-        mean = np.zeros(n)
-        mean[nonzero["idx"]] = nonzero["s"] / cells
-        b0 = self.family.inverse_link(np.clip(mean, 1e-3, 1 - 1e-3) if self.family.name == "bernoulli" else mean)
+        b0 = self._start(rows, n, cells)
         best = None
         for init in range(self.n_init):
             rng = np.random.default_rng(self.seed + init)
-            rate = self.rate
-            while rate > 1e-10:
-                found = self._descend(rows, n, cells, b0.copy(), np.linalg.qr(rng.normal(size=(n, self.n_pc)))[0], rate)
-                if found:
-                    break
+            v0 = self._spectral(rows, n, b0, rng) if self.init == "spectral" and not init else np.linalg.qr(rng.normal(size=(n, self.n_pc)))[0]
+            rate, found = self.rate, None
+            while rate > 1e-10 and not found:
+                found = self._descend(rows, n, cells, b0.copy(), v0, rate)
                 rate *= self.gamma
             if found and (best is None or found[0][-1] < best[0][-1]):
                 best = found
+        if best is None:
+            raise ValueError("the loss is not finite at any learning rate")
         self.losses, self.loadings, self.intercept, self._rows = *best, rows
         return self
 
@@ -207,6 +261,8 @@ class GLMPCA:  # M9-M15
             if not np.isfinite(loss) or not np.isfinite(dv).all():
                 return None
             losses.append(min(loss, kept[0]))
+            if it >= self.PATIENCE and losses[-1 - self.PATIENCE] - losses[-1] <= self.tol * abs(losses[-1]):
+                break
             if loss < kept[0]:
                 kept = (loss, v, b)
             dv = dv - v @ (v.T @ dv + dv.T @ v) / 2  # along the orthonormal matrices
