@@ -69,12 +69,17 @@ def drop_positional(reads: DataFrame, kind: str, by: Sequence[str] = ("sample",
     return mark_positional(reads, kind, by).filter(~F.col("is_dup")).drop("is_dup")
 
 
-def distance_to_previous(marked: DataFrame, by: Sequence[str] = ("sample", "chrom")) -> DataFrame:
+def distance_to_previous(marked: DataFrame, by: Sequence[str] = ("sample", "chrom"), tile: int = 1_000_000) -> DataFrame:
     """Adds `distance` to the previous distinct start; 0 for the first read and for
     duplicates, null for another read at the same start. Starts are compared over the
-    distinct starts, a much smaller table than the reads."""
-    starts = marked.select(*by, "start").distinct()
-    starts = starts.withColumn("_gap", F.col("start") - F.lag("start").over(Window.partitionBy(*by).orderBy("start")))
+    distinct starts, a much smaller table than the reads, in tiles of positions as in U1."""
+    starts = marked.select(*by, "start").distinct().withColumn("_tile", F.floor(F.col("start") / tile))
+    last = starts.groupBy(*by, "_tile").agg(F.max("start").alias("_last"))
+    names = (*by, "_tile")
+    before = last.select(*[F.col(c).alias(f"_b_{c}") for c in names], F.lag("_last").over(Window.partitionBy(*by).orderBy("_tile")).alias("_carried"))
+    starts = starts.withColumn("_prev", F.lag("start").over(Window.partitionBy(*names).orderBy("start")))
+    starts = starts.join(before, _all([F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in names]), "left")
+    starts = starts.select(*by, "start", (F.col("start") - F.coalesce("_prev", "_carried")).alias("_gap"))
     x = marked.join(starts, [*by, "start"])
     first = F.row_number().over(Window.partitionBy(*by, "start").orderBy("read_seq", "query_name")) == 1
     x = x.withColumn("_first", first)

@@ -32,18 +32,19 @@ def _size(k: Column, tile: int) -> Column:
     return F.element_at(F.array(*[F.lit(tile * FAN**i).cast("long") for i in range(CLASSES)]), k + 1)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", tile: int = TILE, on: Sequence[str] = ("chrom",)) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", tile: int = TILE, on: Sequence[str] = ("chrom",), key: Sequence[str] | None = None) -> DataFrame:
     """Pairs of rows whose [start, end) share a base and whose `on` columns are equal.
 
     The columns of `left`, then those of `right` with `r_` before their names. how:
-    inner, left (rows without a partner once, with nulls), left_semi, left_anti.
+    inner, left (rows without a partner once, with nulls), left_semi, left_anti. `key`:
+    columns that tell the rows of `left` apart; the last three find rows by them, else by all.
     Only the length classes that occur among the rows of `right` cost anything: a row of
     `left` is tiled once for each, found by one small aggregate.
     """
     names = [f"r_{c}" for c in right.columns]
     r = right.toDF(*names).withColumn("_c", _class(F.col("r_end") - F.col("r_start"), tile))
     size = _size(F.col("_c"), tile)
-    r = r.withColumn("_t", F.explode(F.sequence(F.floor(F.col("r_start") / size), F.floor((F.col("r_end") - 1) / size)))).filter("r_end > r_start")
+    r = r.withColumn("_size", size).withColumn("_t", F.explode(F.sequence(F.floor(F.col("r_start") / size), F.floor((F.col("r_end") - 1) / size)))).filter("r_end > r_start")
     ends = F.greatest("end", F.col("start") + 1) - 1
 
     def tiles_of(k: int) -> Column:
@@ -55,20 +56,20 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", tile: in
     x = left.withColumn("_x", F.explode(tiles)).withColumn("_c", F.col("_x._c")).withColumn("_t", F.col("_x._t")).drop("_x")
     x = x.join(present, F.col("_c") == F.col("_have"), "left_semi")
     x, r = x.withColumnsRenamed({"_c": "_lc", "_t": "_lt"}), r.withColumnsRenamed({"_c": "_rc", "_t": "_rt"})
-    at = _size(F.col("_rc"), tile)
     same = (F.col("_lc") == F.col("_rc")) & (F.col("_lt") == F.col("_rt"))
     for c in on:
         same = same & (F.col(c) == F.col(f"r_{c}"))
-    touch = (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")) & (F.col("_lt") == F.floor(F.greatest("start", "r_start") / at))
+    touch = (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")) & (F.col("_lt") == F.floor(F.greatest("start", "r_start") / F.col("_size")))
     pairs = x.join(r, same & touch)
+    key = key or left.columns
     if how == "inner":
         return pairs.select(*left.columns, *names)
     if how == "left":
         hit = pairs.select(*left.columns, *names)
-        miss = left.join(pairs.select(*[F.col(c).alias(f"_k_{c}") for c in left.columns]).distinct(), _equal(left.columns), "left_anti")
+        miss = left.join(pairs.select(*[F.col(c).alias(f"_k_{c}") for c in key]).distinct(), _equal(key), "left_anti")
         return hit.unionByName(miss, allowMissingColumns=True)
-    keys = pairs.select(*[F.col(c).alias(f"_k_{c}") for c in left.columns]).distinct()
-    return left.join(keys, _equal(left.columns), how)
+    keys = pairs.select(*[F.col(c).alias(f"_k_{c}") for c in key]).distinct()
+    return left.join(keys, _equal(key), how)
 
 
 def _equal(columns: Sequence[str]) -> Column:

@@ -32,8 +32,8 @@ def filter_statistics(
     x = dedup.mark_positional(x, dedup_key) if dedup_key else x.withColumn("is_dup", F.lit(False))
     if blacklist is not None:
         span = read_span(x.select("sample", "chrom", "start", "read_seq", "query_name", "query_len", "end"))
-        bad = overlap_join(span, blacklist.select("chrom", "start", "end"), "left_semi").select("sample", "read_seq", "query_name").withColumn("_bad", F.lit(True))
-        x = x.join(bad.distinct(), ["sample", "read_seq", "query_name"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+        bad = overlap_join(span, blacklist.select("chrom", "start", "end")).select("sample", "read_seq", "query_name").distinct().withColumn("_bad", F.lit(True))
+        x = x.join(bad, ["sample", "read_seq", "query_name"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
     else:
         x = x.withColumn("_bad", F.lit(False))
     x = P.motif(x, *motif) if motif else x.withColumn("motif_ok", F.lit(True))
