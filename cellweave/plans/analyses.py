@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import combine, counts, coverage, dedup, fragments, graph, intervals, qc, reduction, signal, stats
 from ..operators import predicates as P
 from ..schema import cell_id
+from ..storage import checkpointed
 
 
 def prepared(
@@ -130,7 +131,7 @@ def embedded(matrix: DataFrame, method: str = "LSA", k: int = 20, family: str =
 def cluster_cells(matrix: DataFrame, method: str = "LSA", k: int = 20, neighbours: int = 30, resolution: float = 1.0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, labels, cluster graph)."""
     vectors = embedded(matrix, method, k, **options)
-    edges = graph.symmetric(graph.nearest_by_lists(vectors, neighbours))
+    edges = checkpointed(graph.symmetric(graph.nearest_by_lists(vectors, neighbours)))
     labels = graph.clusters(edges, resolution)
     return vectors, labels, graph.abstracted(edges, labels)
 
@@ -141,5 +142,5 @@ def cluster_multimodal(modalities: dict[str, DataFrame], method: str = "logPCA",
     layers = {}
     for name, m in modalities.items():
         vectors = embedded(m.join(common, "cell_id", "left_semi"), method, k)
-        layers[name] = (graph.symmetric(graph.nearest_by_lists(vectors, neighbours)), (weights or {}).get(name, 1.0))
+        layers[name] = (checkpointed(graph.symmetric(graph.nearest_by_lists(vectors, neighbours))), (weights or {}).get(name, 1.0))
     return graph.clusters(layers, resolution)
