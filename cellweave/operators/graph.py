@@ -145,47 +145,59 @@ def clusters(layers: DataFrame | Mapping[str, tuple[DataFrame, float]], resoluti
     """node, label by greedy modularity moves on one graph or the weighted layers of several.
 
     A round moves the nodes whose hash is of its parity to the neighbouring community of
-    greatest gain w(node, c) - resolution * degree * degree(c) / 2m, so that pairs do not
-    swap for ever; ties go to the least label. Between levels communities become nodes.
-    The weighted sum of the layers' modularities is the modularity of the joint moves.
+    greatest gain w(node, c) - resolution * degree * degree(c) / 2m, summed over the layers,
+    so that pairs do not swap for ever; ties go to the own label, then to the least. Between
+    levels communities become nodes. The weighted sum of the layers' modularities is the
+    modularity of the joint moves.
+
+    Layers share one row for each pair: its weight is the sum over layers of weight * scale,
+    and a node holds its degree in each layer as an array. A round then is one join of the
+    edges with the labels, one sum, and two joins of what is left with nodes and communities.
     """
-    if isinstance(layers, DataFrame):
-        layers = {"": (layers, 1.0)}
-    edges = None
-    for name, (e, weight) in layers.items():
-        total = e.agg(F.sum("weight")).first()[0] or 1.0
-        x = e.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(name).alias("layer"), F.lit(float(weight)).alias("lw"), F.lit(float(total)).alias("m2"))
-        edges = x if edges is None else edges.unionByName(x)
-    edges = checkpointed(edges)
-    final = edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+    given = [(layers, 1.0)] if isinstance(layers, DataFrame) else list(layers.values())
+    totals = [float(e.agg(F.sum("weight")).first()[0] or 1.0) for e, _ in given]
+    # Gains stay near the edges' own weights at any size of the graph, so rounding them is safe.
+    scale = [weight * max(totals) / total for (_, weight), total in zip(given, totals)]
+    parts = [
+        e.select("src", "dst", (F.col("weight") * s).alias("w"), F.array(*[F.col("weight").cast("double") if i == j else F.lit(0.0) for j in range(len(given))]).alias("k"))
+        for i, ((e, _), s) in enumerate(zip(given, scale))
+    ]
+    every = range(len(given))
+    sums = F.array(*[F.sum(F.col("k")[i]) for i in every]).alias("k")
+    united = parts[0]
+    for x in parts[1:]:
+        united = united.unionByName(x)
+    edges = checkpointed(united.groupBy("src", "dst").agg(F.sum("w").alias("w"), sums))
+    final = None
     for _ in range(levels):
-        degree = edges.groupBy(F.col("src").alias("node"), "layer", "lw", "m2").agg(F.sum("weight").alias("k"))
-        labels = checkpointed(edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+        nodes = checkpointed(edges.groupBy(F.col("src").alias("node")).agg(sums).withColumn("mine", F.col("node")))
+        between = edges.filter("src <> dst").select("src", "dst", "w")
         moved_any = False
         for turn in range(rounds):
-            com = degree.join(labels, "node").groupBy("label", "layer").agg(F.sum("k").alias("tot"))
-            near = edges.filter("src <> dst").join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label", "layer").agg(F.sum("weight").alias("w"))
-            own = labels.select("node", F.col("label").alias("mine"))
-            options = near.select("node", "label").unionByName(labels).distinct()
-            x = options.join(degree, "node").join(near, ["node", "label", "layer"], "left").join(com, ["label", "layer"], "left").join(own, "node")
-            rest = F.coalesce("tot", F.lit(0.0)) - F.when(F.col("label") == F.col("mine"), F.col("k")).otherwise(0.0)
-            gain = F.col("lw") * (F.coalesce("w", F.lit(0.0)) - resolution * F.col("k") * rest / F.col("m2")) / F.col("m2")
-            x = x.groupBy("node", "label", "mine").agg(F.round(F.sum(gain), 12).alias("gain"))
-            w = Window.partitionBy("node").orderBy(F.desc("gain"), F.desc(F.col("label") == F.col("mine")), "label")
-            best = x.withColumn("r", F.row_number().over(w)).filter("r = 1")
+            com = nodes.groupBy(F.col("mine").alias("label")).agg(sums).withColumnRenamed("k", "tot")
+            near = between.join(nodes.select(F.col("node").alias("dst"), F.col("mine").alias("label")), "dst").select(F.col("src").alias("node"), "label", "w")
+            x = near.unionByName(nodes.select("node", F.col("mine").alias("label"), F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
+            x = x.join(com, "label").join(nodes, "node")
+            stays = F.col("label") == F.col("mine")
+            gain = F.col("w")
+            for i in every:
+                k = F.col("k")[i]
+                gain = gain - F.lit(scale[i] * resolution / totals[i]) * k * (F.col("tot")[i] - F.when(stays, k).otherwise(0.0))
+            best = x.groupBy("node").agg(F.min(F.struct(F.round(-gain, 9).alias("g"), (~stays).alias("leaves"), "label")).alias("best"), F.first("mine").alias("mine"), F.first("k").alias("k"))
             may = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-            new = checkpointed(best.select("node", F.when(may, F.col("label")).otherwise(F.col("mine")).alias("label"), "mine"))
-            changed = new.filter("label <> mine").count()
+            new = checkpointed(best.select("node", "k", F.when(may, F.col("best.label")).otherwise(F.col("mine")).alias("mine"), (may & F.col("best.leaves")).alias("moved")))
+            changed = new.filter("moved").count()
             moved_any |= changed > 0
-            labels = new.select("node", "label")
+            nodes = new.drop("moved")
             if not changed and turn % 2:
                 break
-        final = checkpointed(final.join(labels.select(F.col("node").alias("label"), F.col("label").alias("_new")), "label", "left").select("node", F.coalesce("_new", "label").alias("label")))
+        labels = nodes.select(F.col("node").alias("label"), F.col("mine").alias("_new"))
+        final = nodes.select("node", F.col("mine").alias("label")) if final is None else checkpointed(final.join(labels, "label").select("node", F.col("_new").alias("label")))
         if not moved_any:
             break
-        up = labels.select(F.col("node").alias("src"), F.col("label").alias("a"))
-        over = labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-        edges = checkpointed(edges.join(up, "src").join(over, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), "layer", "lw", "m2").agg(F.sum("weight").alias("weight")))
+        up = nodes.select(F.col("node").alias("src"), F.col("mine").alias("a"))
+        over = nodes.select(F.col("node").alias("dst"), F.col("mine").alias("b"))
+        edges = checkpointed(edges.join(up, "src").join(over, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"), sums))
     return final
 
 
