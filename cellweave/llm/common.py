@@ -77,6 +77,19 @@ def kept(df: DataFrame, what: str, made: Scratch) -> DataFrame:
     return stored(df, what, path)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes unless the session has a bound of its own. Spark's are
+    10,000 rows or 64 MB, and both processes hold several of them for each task. The bound
+    stays with the session; it changes no result."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
@@ -85,6 +98,7 @@ def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_path(spark, what)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, new_path, scratch, stored
+from .common import kept, new_path, scratch, small_batches, stored
 from .tokens import gathered, word_spans
 
 SIZE = 10
@@ -42,7 +42,7 @@ BLOCK_BYTES = 4_000_000
 QUERY_WORDS = 2_000_000
 
 #: Candidates of one step of the intersection.
-CANDIDATES = 1_000_000
+CANDIDATES = 200_000
 
 INDEX = "block long, doc_ids array<bigint>, n_words array<bigint>, terms binary, words binary, word_ends binary, ends binary, postings binary"
 
@@ -109,6 +109,7 @@ def build_index(docs: DataFrame, path: str) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # Rows are megabytes, so the writer must look at the size of a row group after each.
     small = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "compression": "zstd"}
+    small_batches(rows.sparkSession)
     rows.mapInArrow(blocks, INDEX).write.options(**small).parquet(path)
 
 

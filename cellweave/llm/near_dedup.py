@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, kept, likely, salted_join, scratch, stored
+from .common import body, kept, likely, salted_join, scratch, small_batches, stored
 from .tokens import mixed, powers, windows, word_hashes
 
 WORDS = 5
@@ -242,6 +242,7 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): edges between different texts whose components are those of all verified
     links; `texts` is (key, text)."""
     spark = texts.sparkSession
+    small_batches(spark)
     rows, df = document_frequencies(texts)
     idf = spark.sparkContext.broadcast(idf_of(rows, df))
     nodes = stored(sketches(texts, idf).dropDuplicates(["key"]), "near-sketches")
