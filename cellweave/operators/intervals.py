@@ -158,17 +158,34 @@ def free_bins(contigs: DataFrame, blacklist: DataFrame, size: int) -> DataFrame:
     return bins_in_regions(free_space(contigs, blacklist), size)
 
 
+def _last_before(rows: DataFrame, points: DataFrame, at: Column, reach: int, name: str) -> DataFrame:
+    """Adds `name`: the greatest `p` of `points` (chrom, p) that is not past `at`, null if there
+    is none; one that is more than `reach` away may be found or not. Rows and points meet in
+    tiles of at least `reach` positions, in one pass over each tile in order; of the tile
+    before only the last point is carried over."""
+    step = max(TILE, reach)
+    p = points.filter("chrom is not null and p is not null").distinct().withColumn("_t", F.floor(F.col("p") / step))
+    carried = p.groupBy("chrom", "_t").agg(F.max("p").alias("p")).withColumn("_t", F.col("_t") + 1)
+    p = p.unionByName(carried).withColumn("_at", F.col("p"))
+    x = rows.withColumn("_at", at).withColumn("_t", F.floor(F.col("_at") / step)).withColumn("_row", F.lit(True))
+    w = Window.partitionBy("chrom", "_t").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.unionByName(p, allowMissingColumns=True).withColumn(name, F.last("p", ignorenulls=True).over(w))
+    return x.filter("_row").select(*rows.columns, name)
+
+
 def clip_windows(regions: DataFrame, blacklist: DataFrame, extension: int) -> DataFrame:  # J9
     """Windows in which reads of a region are fetched when reads are extended: the
-    region widened by `extension`, but not past the nearest blacklisted interval."""
-    wide = regions.withColumn("_s", F.col("start")).withColumn("_e", F.col("end"))
-    wide = wide.withColumn("start", F.greatest(F.col("start") - extension, F.lit(0))).withColumn("end", F.col("end") + extension)
-    hit = overlap_join(wide, blacklist.select("chrom", "start", "end"), "left")
-    keys = [c for c in wide.columns if c not in ("exons",)]
-    x = hit.groupBy(*keys).agg(
-        F.max(F.when(F.col("r_end") <= F.col("_s"), F.col("r_end"))).alias("_low"), F.min(F.when(F.col("r_start") >= F.col("_e"), F.col("r_start"))).alias("_high")
+    region widened by `extension`, but not past the nearest blacklisted interval. Equal
+    regions give one row. Only the nearest interval on each side is looked for, so the
+    work does not follow the number of intervals that a window touches."""
+    keys = [c for c in regions.columns if c != "exons"]
+    x = regions.select(*keys).distinct()
+    x = _last_before(x, blacklist.select("chrom", F.col("end").alias("p")), F.col("start"), extension, "_low")
+    x = _last_before(x, blacklist.select("chrom", (-F.col("start")).alias("p")), -F.col("end"), extension, "_high")
+    low, high = F.greatest(F.col("start") - extension, F.lit(0)), F.col("end") + extension
+    return x.select(
+        "chrom", F.greatest(low, F.coalesce("_low", low)).alias("start"), F.least(high, F.coalesce(-F.col("_high"), high)).alias("end"), *[c for c in keys if c not in ("chrom", "start", "end")]
     )
-    return x.select("chrom", F.greatest("start", F.coalesce("_low", "start")).alias("start"), F.least("end", F.coalesce("_high", "end")).alias("end"), *[c for c in keys if c not in ("chrom", "start", "end", "_s", "_e")])
 
 
 def run_length(bins: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:  # W4

@@ -82,3 +82,24 @@ def test_hidden_order_does_not_matter(spark):
     a = [("1", s, s + rng.randint(1, 500), k) for k, s in enumerate(rng.sample(range(5000), 80))]
     left = spark.createDataFrame(a, PLAIN)
     assert rows(intervals.overlap_join(left, left, tile=50)) == rows(intervals.overlap_join(left.repartition(7), left.repartition(3), tile=11))
+
+
+def test_windows_are_clipped_at_the_nearest_interval(spark):
+    rng = random.Random(5)
+    a = [("12"[k % 2], s, s + rng.randint(1, 900), k) for k, s in enumerate(rng.sample(range(6000), 60))] + [("3", 5, 9, 60), ("1", 0, 2, 61), ("1", 0, 2, 61)]
+    b = [(rng.choice("12"), s, s + rng.randint(0, 60), k) for k, s in enumerate(rng.choices(range(7000), k=90))] + [(None, 4, 5, 0), ("1", 2, 512, 1), ("3", 300, None, 2)]
+    for ext in (10, 300, 1200):
+        want = set()
+        for c, s, e, k in a:
+            low = max((y[2] for y in b if y[0] == c and y[2] is not None and y[2] <= s), default=0)
+            high = min((y[1] for y in b if y[0] == c and y[1] >= e), default=e + ext)
+            want.add((c, max(0, s - ext, low), min(e + ext, high), k))
+        got = intervals.clip_windows(spark.createDataFrame(a, PLAIN), spark.createDataFrame(b, PLAIN), ext).select("chrom", "start", "end", "id")
+        assert rows(got) == sorted(want, key=lambda r: tuple((True, str(v)) for v in r))
+
+
+def test_windows_join_no_pairs(spark):
+    """The regions never meet all intervals that their windows touch."""
+    x = spark.createDataFrame([("1", k % 50, k % 50 + 400, k) for k in range(200)], PLAIN)
+    plan = intervals.clip_windows(x, x, 200)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
