@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
@@ -103,3 +105,79 @@ def test_windows_join_no_pairs(spark):
     x = spark.createDataFrame([("1", k % 50, k % 50 + 400, k) for k in range(200)], PLAIN)
     plan = intervals.clip_windows(x, x, 200)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+BLOCKS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _spliced(rng, n, most):
+    """Reads of one to three blocks, few of them long."""
+    for _ in range(n):
+        at, blocks = rng.randint(-20, most), []
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            at += rng.randint(0, 30)
+            blocks.append((at, at + rng.choice((1, 5, 40, 300))))
+            at = blocks[-1][1]
+        yield blocks
+
+
+def _meets(blocks, s, e):
+    return any(b[0] < e and b[1] > s for b in blocks)
+
+
+@pytest.mark.parametrize("exons", [False, True])
+def test_feature_counts_equal_nested_loops(spark, exons):
+    rng = random.Random(7)
+    reads = [("s", f"B{rng.randint(0, 5)}", rng.choice("12"), b) for b in _spliced(rng, 150, 900)] + [("s", "B9", "1", [(0, 3000)]), ("s", "B9", None, [(0, 3000)]), ("s", "B9", "2", [])]
+    regions = []
+    for k in range(60):
+        s, n = rng.randint(0, 900), rng.choice((1, 3, 9, 70, 600))
+        regions.append((rng.choice("12"), s, s + n, f"g{k}", [(s, s + n // 3), (s + n // 2, s + n)]))
+    regions += [regions[0], regions[5], (None, 5, 90, "n", [(5, 90)])]  # a feature given twice is one
+    want = {}
+    for sample, bc, chrom, blocks in reads:
+        for c, s, e, name, parts in {(*r[:4], tuple(r[4])) for r in regions if r[0] is not None}:
+            n = sum(_meets(blocks, *x) for x in set(parts) if x[0] < x[1]) if exons else _meets(blocks, s, e)
+            if c == chrom and n:
+                key = (f"{sample}::{bc}", c, s, e, name)
+                want[key] = want.get(key, 0) + n
+    x = spark.createDataFrame(reads, f"sample string, bc string, chrom string, blocks {BLOCKS}")
+    f = spark.createDataFrame(regions, f"chrom string, start bigint, end bigint, name string, exons {BLOCKS}")
+    for tile in (4, 512):
+        got = {tuple(r)[:5]: r["count"] for r in counts.count_features(x, f, exons, tile=tile).collect()}
+        assert got == want
+    assert {r["count"] for r in counts.count_features(x, f, exons, binarize=True).collect()} == {1.0}
+
+
+def test_features_meet_reads_without_a_shuffle_of_pairs(spark):
+    x = spark.createDataFrame([("s", "A", "1", [(5, 15)])], f"sample string, bc string, chrom string, blocks {BLOCKS}")
+    f = spark.createDataFrame([("1", 0, 10, "g")], "chrom string, start bigint, end bigint, name string")
+    plan = counts.count_features(x, f)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.strip().startswith("MapInArrow")
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1_000_000])
+def test_counts_of_one_tile_in_small_passes(monkeypatch, pairs):
+    """Counts are right however few pairs are looked at in one go and however rows are cut into batches."""
+    monkeypatch.setattr(counts, "PAIRS", pairs)
+    rng = random.Random(3)
+    reads = sorted((f"c{rng.randint(0, 4)}", b) for b in _spliced(rng, 80, 400))
+    features = [(s, s + rng.choice((2, 50, 400))) for s in rng.choices(range(400), k=25)]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def batch(is_read, cells, blocks, bounds):
+        n = len(blocks)
+        same = {c: pa.array(np.zeros(n, t)) for c, t in (("step", np.int64), ("tile", np.int64), ("part", np.int32))}
+        listed = pa.array([[{"start": a, "end": z} for a, z in b] for b in blocks], kind)
+        return pa.RecordBatch.from_pydict({
+            "chrom": pa.array(["1"] * n), "start": pa.array([b[0] for b in bounds], pa.int64()), "end": pa.array([b[1] for b in bounds], pa.int64()),
+            "name": pa.array([f"g{k}" for k in range(n)]), "blocks": listed, **same, "is_read": pa.array([is_read] * n), "cell_id": pa.array(cells, pa.string()),
+        })
+
+    given = [batch(False, [None] * 25, [[f] for f in features], features)]
+    for at in range(0, 80, 7):
+        some = reads[at : at + 7]
+        given.append(batch(True, [c for c, _ in some], [b for _, b in some], [(None, None)] * len(some)))
+    got = [r for b in counts._counted(iter(given)) for r in b.to_pylist()]
+    want = {(c, f"g{k}"): n for c in {c for c, _ in reads} for k, f in enumerate(features) if (n := sum(_meets(b, *f) for x, b in reads if x == c))}
+    assert {(r["cell_id"], r["name"]): r["count"] for r in got} == want and len(got) == len(want)
