@@ -12,10 +12,12 @@ in bits a symbol, gives the score by a logistic curve, and a text whose score is
 Counts are taken over all learning rows as a combining aggregate. Discounts (from the counts
 of counts), context totals and the continuation counts of the lower orders are all computed
 from the full counts, in DataFrames. What is sent to the tasks is bounded by MODEL_ENTRIES
-(n-gram, language) pairs of all orders, some 50 MB. A model that has more keeps whole
-lower orders first and, of the order at which the bound is met, the most frequent n-grams.
-The discounted probabilities of what is kept do not change; a context's weight is
-one minus the sum of its kept n-grams, so every distribution still sums to one.
+(n-gram, language) pairs of all orders and the single symbols, some 50 MB. Of a model that has
+more, the most frequent contexts are sent, each with all that follows it in any language, so
+what is sent has its exact values and every distribution sums to one. The rest stays in
+a stored table. A word that needs any of it is known by its contexts: the distinct words of
+this kind are joined with the table, valued in full and added to their texts' sums. The
+bound decides where a word is valued, not what its value is.
 
 The curve is fitted on rows that its model has not learnt from: learning rows
 in one of FOLDS folds by text hash are left out of a second model, and up to about
@@ -43,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LETTERS, fold, lowered, scratch, stored, worker_cache
+from .common import LETTERS, Scratch, fold, kept, lowered, scratch, stored, worker_cache
 from .tokens import mixed, powers
 
 ORDER = 5
@@ -144,30 +146,69 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_learnt").alias("n_learnt"))
 
 
+def _among(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of `own` are in the sorted `hashes`."""
+    if not len(hashes):
+        return np.zeros(len(own), bool)
+    return hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own
+
+
+def _tables(entries: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """For each order the distinct hashes, where each one's entries start, and the entries."""
+    out = []
+    for hashes, lang, gain, weight in entries:
+        order = np.lexsort((lang, hashes))
+        distinct, first = np.unique(hashes[order], return_index=True)
+        out.append((distinct, np.append(first, len(hashes)), lang[order].astype(np.int32), gain[order].astype(np.float32), weight[order].astype(np.float32)))
+    return out
+
+
 class Model:
     """Tables of all languages; see the module's text.
 
     entries: for each order from 1 the arrays (hash of the n-gram, number of the language,
     probability, weight as a context); base: each language's weight of no context.
+    contexts: for each order None if it is whole, else the hashes of the contexts whose n-grams
+    are here. rest: all entries as a DataFrame (order, number, hash, gain, weight) if
+    any order is not whole; it stays on the driver.
     """
 
-    def __init__(self, langs: list[str], floor: float, base: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(
+        self, langs: list[str], floor: float, base: np.ndarray, entries: list[tuple[np.ndarray, ...]], contexts: list[np.ndarray | None] | None = None, rest: DataFrame | None = None
+    ):
         self.uid = uuid.uuid4().hex
         self.langs, self.floor, self.base = langs, floor, base.astype(np.float32)
-        self.tables = []
-        for hashes, lang, gain, weight in entries:
-            order = np.lexsort((lang, hashes))
-            distinct, first = np.unique(hashes[order], return_index=True)
-            self.tables.append((distinct, np.append(first, len(hashes)), lang[order].astype(np.int32), gain[order].astype(np.float32), weight[order].astype(np.float32)))
-
-    def symbol_probabilities(self, whole: str) -> np.ndarray:
-        """P of each symbol of a padded string after those before it, in each language."""
+        self.tables = _tables(entries)
+        self.contexts, self.rest = contexts, rest
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
+
+    def known(self, whole: str) -> list[np.ndarray]:
+        """For each order, whether the tables tell all about each place of a padded string: the
+        context's n-grams are here, or it has none. An n-gram is unseen if its end is, or
+        if it is not among the n-grams of a context that are here."""
+        start = np.frombuffer(whole.encode("utf-32-le"), "<u4") == ord(START)
+        unseen, out = np.zeros(len(whole), bool), []
+        for n, ((hashes, *_), contexts) in enumerate(zip(self.tables, self.contexts, strict=True), 1):
+            told = np.ones(len(whole), bool)
+            if contexts is not None:
+                told[1:] = (_among(contexts, _hashes(whole, n - 1)) | unseen)[:-1]
+            unseen = unseen | (told & ~start & ~_among(hashes, _hashes(whole, n)))
+            out.append(told)
+        return out
+
+    def symbol_probabilities(self, whole: str, more: list[tuple[np.ndarray, ...]] | None = None) -> np.ndarray:
+        """P of each symbol of a padded string after those before it, in each language.
+        `more`: tables that count before the model's own."""
         p = np.broadcast_to(self.base * np.float32(self.floor), (len(whole), len(self.langs)))
-        for n, (hashes, first, lang, gains, weights) in enumerate(self.tables, 1):
+        for n in range(1, len(self.tables) + 1):
             gain = np.zeros((len(whole), len(self.langs)), np.float32)
             weight = np.ones((len(whole), len(self.langs)), np.float32)
-            if len(hashes):
-                own = _hashes(whole, n)
+            own = _hashes(whole, n)
+            for hashes, first, lang, gains, weights in [self.tables[n - 1]] + ([more[n - 1]] if more else []):
+                if not len(hashes):
+                    continue
                 at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                 place = np.flatnonzero(hashes[at] == own)
                 at = at[place]
@@ -184,8 +225,9 @@ class Model:
                 p = p * weight
         return p
 
-    def word_bits(self, words: list[str]) -> np.ndarray:
-        """Bits of each word in each language (len(words) x languages)."""
+    def word_bits(self, words: list[str], more: list[tuple[np.ndarray, ...]] | None = None) -> np.ndarray:
+        """Bits of each word in each language (len(words) x languages). Without `more`, those
+        of words that need the rest are NaN."""
         out = []
         most = max(1, PLACES // max(1, len(self.langs)))
         ends = np.cumsum([len(w) + ORDER for w in words])
@@ -193,25 +235,40 @@ class Model:
         while at < len(words):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             whole, word, event = _padded(words[at:end])
-            p = self.symbol_probabilities(whole)[event]
+            p = self.symbol_probabilities(whole, more)[event]
             out.append(np.add.reduceat(-np.log2(np.maximum(p, 1e-12)), np.flatnonzero(np.diff(word[event], prepend=-1))))
+            if self.contexts and more is None:
+                out[-1][np.unique(word[event & ~np.logical_and.reduce(self.known(whole))])] = np.nan
             at = end
         return np.concatenate(out)
 
-    def entropies(self, texts: list[str], cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(mean bits a symbol in each language, number of symbols) of each text."""
+    def sums(self, texts: list[str], cache: dict | None = None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(bits in each language, number of symbols) of each text; the words that need the
+        rest, whose bits are left out, as (text, word, how often)."""
         each = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, each), np.int64, len(each))
         flat = [w for x in each for w in x]
         bits, symbols = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        lacking = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int64)
         if flat and self.langs:
             codes, names = pd.factorize(np.array(flat, object))
             values = self._remembered(names.tolist(), {} if cache is None else cache)
             lengths = np.fromiter(map(len, names), np.int64, len(names)) + 1
+            if self.contexts:
+                open_ = np.isnan(values[:, 0])
+                values = np.where(open_[:, None], np.float32(0), values)
+                at = np.flatnonzero(open_[codes])
+                pair, times = np.unique(np.repeat(np.arange(len(texts)), counts)[at] * len(names) + codes[at], return_counts=True)
+                lacking = pair // len(names), names[pair % len(names)], times
             has = counts > 0
             starts = (np.cumsum(counts) - counts)[has]
             bits[has] = np.add.reduceat(values[codes], starts, dtype=np.float64)
             symbols[has] = np.add.reduceat(lengths[codes], starts)
+        return bits, symbols, lacking
+
+    def entropies(self, texts: list[str], cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(mean bits a symbol in each language, number of symbols) of each text."""
+        bits, symbols, _ = self.sums(texts, cache)
         return bits / np.maximum(symbols, 1)[:, None], symbols
 
     def _remembered(self, words: list[str], cache: dict) -> np.ndarray:
@@ -244,11 +301,11 @@ def _orders(counts: DataFrame) -> DataFrame:
 
 def learn(rows: DataFrame) -> tuple[Model, Model]:
     """The model of all rows (lang, text) whose lang is not null, and the one for the curve."""
-    with scratch(rows.sparkSession):
-        return _learn(stored(gram_counts(rows.filter("lang is not null and text is not null")), "language-grams"))
+    with scratch(rows.sparkSession) as made:
+        return _learn(stored(gram_counts(rows.filter("lang is not null and text is not null")), "language-grams"), made)
 
 
-def _learn(counts: DataFrame) -> tuple[Model, Model]:
+def _learn(counts: DataFrame, made: Scratch) -> tuple[Model, Model]:
     spark = counts.sparkSession
     grams = _orders(counts)
     # A row for each order, language and model.
@@ -256,18 +313,24 @@ def _learn(counts: DataFrame) -> tuple[Model, Model]:
     langs = [sorted({r["lang"] for r in spread if r["model"] == m}) for m in (0, 1)]
     if not langs[0]:
         return (Model([], 1.0, np.zeros(0), []),) * 2
+    grams = grams.withColumn("h", F.expr("substring(gram, 1, length(gram) - 1)"))
     least = {m: _least(grams, [r for r in spread if r["model"] == m], m) for m in (0, 1)}
+    cut = {m: [n for n in range(1, ORDER + 1) if least[m][n]] for m in (0, 1)}
     facts = [
-        (r["model"], r["order"], r["lang"], langs[r["model"]].index(r["lang"]), r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] and r["twice"] else 0.5, least[r["model"]].get(r["order"], 1 << 62))
+        (r["model"], r["order"], r["lang"], langs[r["model"]].index(r["lang"]), r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] and r["twice"] else 0.5, least[r["model"]][r["order"]])
         for r in spread
     ]
     facts = spark.createDataFrame(facts, "model int, order int, lang string, number int, discount double, least long")
     context = Window.partitionBy("model", "order", "lang", "h")
-    gains = grams.withColumn("h", F.expr("substring(gram, 1, length(gram) - 1)")).withColumn("total", F.sum("v").over(context))
-    gains = gains.join(F.broadcast(facts), ["model", "order", "lang"]).filter("v >= least").withColumn("gain", (F.col("v") - F.col("discount")) / F.col("total"))
-    weights = gains.groupBy("model", (F.col("order") - 1).alias("order"), "number", F.col("h").alias("gram")).agg((1 - F.sum("gain")).alias("weight"))
-    sides = gains.select("model", "order", "number", "gram", "gain", F.lit(None).cast("double").alias("weight")).unionByName(weights.withColumn("gain", F.lit(None).cast("double")))
-    merged = sides.groupBy("model", "order", "number", "gram").agg(F.max("gain").alias("gain"), F.max("weight").alias("weight"))
+    gains = grams.withColumn("total", F.sum("v").over(context))
+    heat = F.sum("v").over(Window.partitionBy("model", "order", "h")) if cut[0] or cut[1] else F.lit(0)
+    gains = gains.withColumn("heat", heat).join(F.broadcast(facts), ["model", "order", "lang"]).withColumn("gain", (F.col("v") - F.col("discount")) / F.col("total"))
+    gains = gains.withColumn("sent", F.col("heat") >= F.col("least"))
+    weights = gains.groupBy("model", (F.col("order") - 1).alias("order"), "number", F.col("h").alias("gram")).agg((1 - F.sum("gain")).alias("weight"), F.first("sent").alias("below"))
+    none, no = F.lit(None).cast("double"), F.lit(False)
+    sides = gains.select("model", "order", "number", "gram", "gain", none.alias("weight"), "sent", no.alias("below"))
+    sides = sides.unionByName(weights.withColumn("gain", none).withColumn("sent", no))
+    merged = sides.groupBy("model", "order", "number", "gram").agg(*[F.max(c).alias(c) for c in ("gain", "weight", "sent", "below")])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,12 +340,19 @@ def _learn(counts: DataFrame) -> tuple[Model, Model]:
                 own = np.flatnonzero(order == n)
                 if n:
                     hashes[own] = _hash_of([names[k] for k in own.tolist()], n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(hashes.view(np.int64)), b.column(4), b.column(5)], names=["model", "order", "number", "hash", "gain", "weight"])
-
-    # MODEL_ENTRIES rows at most for each model, and the contexts of these.
-    found = merged.mapInArrow(hashed, "model int, order int, number int, hash long, gain double, weight double").toArrow()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(hashes.view(np.int64)), *b.columns[4:]], names=["model", "order", "number", "hash", *b.schema.names[4:]])
+
+    found = merged.mapInArrow(hashed, "model int, order int, number int, hash long, gain double, weight double, sent boolean, below boolean")
+    rest = None
+    if cut[0] or cut[1]:
+        found = kept(found, "language-rest", made)
+        rest = found
+    # MODEL_ENTRIES rows at most for each model, the single symbols, and the contexts of these.
+    sent = found.filter("sent or below").select("model", "order", "number", "hash", F.when(F.col("sent"), F.col("gain")).alias("gain"), F.when(F.col("below"), F.col("weight")).alias("weight"))
+    found = sent.toArrow()
     model, order, number = (found.column(c).to_numpy() for c in ("model", "order", "number"))
     hashes = found.column("hash").to_numpy().view(np.uint64)
+    is_context = pc.is_valid(found.column("weight")).to_numpy()
     gain, weight = (pc.fill_null(found.column(c), x).to_numpy() for c, x in (("gain", 0.0), ("weight", 1.0)))
     out = []
     for m in (0, 1):
@@ -290,27 +360,32 @@ def _learn(counts: DataFrame) -> tuple[Model, Model]:
         base = np.ones(len(langs[m]))
         base[number[of[0]]] = weight[of[0]]
         floor = 1.0 / (len(np.unique(hashes[of[1]][gain[of[1]] > 0])) + 1)
-        out.append(Model(langs[m], floor, base, [(hashes[k], number[k], gain[k], weight[k]) for k in of[1:]]))
+        contexts = [np.unique(hashes[of[n - 1]][is_context[of[n - 1]]]) if n in cut[m] else None for n in range(1, ORDER + 1)]
+        entries = [(hashes[k], number[k], gain[k], weight[k]) for k in of[1:]]
+        own = {"contexts": contexts, "rest": rest.filter(F.col("model") == m).select("order", "number", "hash", "gain", "weight")} if cut[m] else {}
+        out.append(Model(langs[m], floor, base, entries, **own))
     return out[0], out[1]
 
 
 def _least(grams: DataFrame, spread: list, model: int) -> dict[int, int]:
-    """Of each order the least count that is stored, so that MODEL_ENTRIES bound the model."""
-    left, out = MODEL_ENTRIES, {}
-    for n in range(1, ORDER + 1):
-        own = sum(r["n"] for r in spread if r["order"] == n)
-        if own <= left:
-            out[n], left = 1, left - own
+    """For each order how often the contexts occur at least that are sent, 0 for all, so that
+    MODEL_ENTRIES bound what is sent. Single symbols are always sent; each further order may
+    take an equal part of what the shorter ones have left."""
+    own = {n: sum(r["n"] for r in spread if r["order"] == n) for n in range(1, ORDER + 1)}
+    left, out = MODEL_ENTRIES - own[1], {1: 0}
+    for n in range(2, ORDER + 1):
+        share = max(left, 0) // (ORDER + 1 - n)
+        if own[n] <= share:
+            out[n], left = 0, left - own[n]
             continue
+        out[n] = 1 << 62
         # Powers of two and a half: some sixty classes of counts, whatever there is.
-        size = F.floor(F.log2("v") * 2)
-        classes = grams.filter((F.col("model") == model) & (F.col("order") == n)).groupBy(size.alias("c")).agg(F.min("v").alias("least"), F.count("*").alias("n"))
+        contexts = grams.filter((F.col("model") == model) & (F.col("order") == n)).groupBy("h").agg(F.sum("v").alias("heat"), F.count("*").alias("n"))
+        classes = contexts.groupBy(F.floor(F.log2("heat") * 2).alias("c")).agg(F.min("heat").alias("least"), F.sum("n").alias("n"))
         for r in sorted(classes.collect(), key=lambda r: -r["least"]):
-            left -= r["n"]
-            if left < 0:
+            if r["n"] > share:
                 break
-            out[n] = r["least"]
-        return out
+            out[n], share, left = r["least"], share - r["n"], left - r["n"]
     return out
 
 
@@ -348,10 +423,22 @@ def calibrated(model: Model, rows: DataFrame) -> tuple[float, float]:
 def predict(docs: DataFrame, model: Model, curve: tuple[float, float] = (1.0, 0.0), reject_below: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, bits (of the language told), margin, rejected, and the
     string columns named in `keep`."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     a, b = curve
 
+    def answers(first: list[pa.Array], bits: np.ndarray, symbols: np.ndarray, more: list[pa.Array]) -> pa.RecordBatch:
+        langs = sent.value.langs
+        bits = bits / np.maximum(symbols, 1)[:, None]
+        told = (symbols > 0) & (len(langs) > 0)
+        best = bits.argmin(axis=1) if langs else np.zeros(len(symbols), int)
+        score = np.where(told, 1 / (1 + np.exp(-np.clip(a * margins(bits) + b, -30, 30))), 0.0) if langs else np.zeros(len(symbols))
+        names = [langs[k] if t else UNKNOWN for k, t in zip(best.tolist(), told.tolist(), strict=True)]
+        own = bits[np.arange(len(symbols)), best] if langs else np.zeros(len(symbols))
+        return pa.RecordBatch.from_arrays(
+            [*first, pa.array(names), pa.array(score), pa.array(own), pa.array(margins(bits)), pa.array(score < reject_below), *more],
+            names=["doc_id", "lang_pred", "score", "bits", "margin", "rejected", *keep],
+        )
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         caches = worker_cache()
@@ -367,25 +454,76 @@ def predict(docs: DataFrame, model: Model, curve: tuple[float, float] = (1.0, 0.
                     chunk.append(texts[at].as_py() or "")
                     size += len(chunk[-1])
                     at += 1
-                bits, symbols = m.entropies(chunk, cache)
-                told = (symbols > 0) & (len(m.langs) > 0)
-                best = bits.argmin(axis=1) if m.langs else np.zeros(len(chunk), int)
-                score = np.where(told, 1 / (1 + np.exp(-np.clip(a * margins(bits) + b, -30, 30))), 0.0) if m.langs else np.zeros(len(chunk))
-                names = [m.langs[k] if t else UNKNOWN for k, t in zip(best.tolist(), told.tolist(), strict=True)]
-                own = bits[np.arange(len(chunk)), best] if m.langs else np.zeros(len(chunk))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, at - start), pa.array(names), pa.array(score), pa.array(own), pa.array(margins(bits)), pa.array(score < reject_below)]
-                    + [batch.column(2 + k).slice(start, at - start) for k in range(len(keep))],
-                    names=["doc_id", "lang_pred", "score", "bits", "margin", "rejected", *keep],
-                )
+                bits, symbols, (of, words, times) = m.sums(chunk, cache)
+                first, more = [batch.column(0).slice(start, at - start)], [batch.column(2 + k).slice(start, at - start) for k in range(len(keep))]
+                if not m.contexts:
+                    yield answers(first, bits, symbols, more)
+                    continue
+                ends = np.searchsorted(of, np.arange(len(chunk) + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(words, pa.string()), pa.array(times, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*first, pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(symbols), *lists, *more], names=["doc_id", "sums", "symbols", "words", "times", *keep])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield answers([batch.column("doc_id")], bits, batch.column("symbols").to_numpy(), [batch.column(c) for c in keep])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    schema = "doc_id long, lang_pred string, score double, bits double, margin double, rejected boolean"
-    return rows.mapInArrow(each, ", ".join([schema, *[f"{c} string" for c in keep]]))
+    kinds = [f"{c} string" for c in keep]
+    schema = ", ".join(["doc_id long, lang_pred string, score double, bits double, margin double, rejected boolean", *kinds])
+    if model.rest is None:
+        return rows.mapInArrow(each, schema)
+    some = rows.mapInArrow(each, ", ".join(["doc_id long, sums array<double>, symbols long, words array<string>, times array<long>", *kinds]))
+    some = stored(some.withColumn("_row", F.monotonically_increasing_id()), "language-sums")
+    uses = some.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    values = stored(_valued(uses.select("word").distinct(), model, sent), "language-words")
+    langs = range(len(model.langs))
+    added = uses.join(values, "word").groupBy("_row").agg(F.array(*[F.sum(F.col("times") * F.col("value")[k]) for k in langs]).alias("added"))
+    some = some.join(added, "_row", "left").withColumn("sums", F.array(*[F.col("sums")[k] + F.coalesce(F.col("added")[k], F.lit(0.0)) for k in langs]))
+    return some.select("doc_id", "sums", "symbols", *keep).mapInArrow(last, schema)
+
+
+def _valued(words: DataFrame, model: Model, sent) -> DataFrame:
+    """word, value: the bits in each language of words that need the rest. Only what the
+    sent tables do not tell is looked up."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0)
+            if not len(names):
+                continue
+            whole, word, event = _padded(names.to_pylist())
+            told = sent.value.known(whole)
+            for n in range(2, ORDER + 1):
+                place = np.flatnonzero(event & ~told[n - 1])
+                for order, at in ((n, place), (n - 1, place - 1)):
+                    asks = pa.array(_hashes(whole, order)[at].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(word[place])), pa.array(np.full(len(at), order, np.int32)), asks], names=["word", "order", "hash"])
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten()
+            order, number, hashes, gain, weight = (x.field(k) for k in range(5))
+            order, number, hashes = order.to_numpy(), number.to_numpy(), hashes.to_numpy().view(np.uint64)
+            gain, weight = (pc.fill_null(c, v).to_numpy() for c, v in ((gain, 0.0), (weight, 1.0)))
+            of = [np.flatnonzero(order == n) for n in range(1, ORDER + 1)]
+            more = _tables([(hashes[k], number[k], gain[k], weight[k]) for k in of])
+            bits = sent.value.word_bits(b.column(0).to_pylist(), more).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.tolist(), pa.list_(pa.float64()))], names=["word", "value"])
+
+    asks = words.mapInArrow(asked, "word string, order int, hash long").distinct()
+    found = F.when(F.col("number").isNotNull(), F.struct("order", "number", "hash", "gain", "weight"))
+    found = asks.join(model.rest, ["order", "hash"], "left").groupBy("word").agg(F.collect_list(found).alias("found"))
+    return found.mapInArrow(valued, "word string, value array<double>")
 
 
 def op2_language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.filter(fold(F.col("doc_id"), 3) != 1).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model, other = learn(rows)
-    found = predict(docs, model, calibrated(other, rows))
-    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "bits", "margin", "rejected")
+    with scratch(spark) as made:
+        model, other = learn(rows)
+        found = predict(docs, model, calibrated(other, rows))
+        found = found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "bits", "margin", "rejected")
+        return found if model.rest is None else kept(found, "languages", made)

@@ -178,6 +178,26 @@ def test_cut_models_keep_their_probabilities(spark, monkeypatch):
             assert all(g in (0, pytest.approx(known[int(x), int(n)])) for n, g in zip(lang2[a:z], gain2[a:z], strict=True))
 
 
+@pytest.mark.parametrize("entries", [60, 30, 0])
+def test_the_bound_of_the_model_changes_no_answer(spark, monkeypatch, entries):
+    """What is not sent is looked up: bits, languages and scores are those of the whole model."""
+    whole, _ = _learnt(spark, BY_LANG)
+    texts = ["abba cab dab", "bad dada ddd bad", "zebra cabd é dadada a", "", "12", "bacca " * 5 + "dadab", "ab bacd abcab ddda", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(spark.createDataFrame([(None, "dad"), (3, "abcc dab")], "doc_id long, text string"))
+    want = sorted(map(tuple, language_id.predict(docs, whole).collect()), key=str)
+    monkeypatch.setattr(language_id, "MODEL_ENTRIES", entries)
+    cut, _ = _learnt(spark, BY_LANG)
+    assert sum(len(t[2]) for t in cut.tables) < sum(len(t[2]) for t in whole.tables) and cut.rest is not None
+    got = sorted(map(tuple, language_id.predict(docs, cut).collect()), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(got) == 10
+    assert all(g[2:5] == pytest.approx(w[2:5], rel=1e-5, abs=1e-6) for g, w in zip(got, want, strict=True))
+    # Words that the sent tables tell in full have their values there.
+    words = ["abba", "dab", "zebra", "cabd", "é", "bacca", "a"]
+    bits, exact = cut.word_bits(words), whole.word_bits(words)
+    told = ~np.isnan(bits[:, 0])
+    assert bits[told] == pytest.approx(exact[told], rel=1e-5)
+
+
 def test_models_do_not_share_what_workers_remember(spark):
     two, _ = _learnt(spark, BY_LANG)
     one, _ = _learnt(spark, {"x": ["dab", "bad"] * 5})
