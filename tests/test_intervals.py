@@ -228,3 +228,42 @@ def test_exons_are_spread_out_by_spark(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and plan.index("Generate explode") < plan.index("MapInArrow")
     assert [tuple(r) for r in out.collect()] == [("s::A", "1", 0, 10, "g", 2.0)]
+
+
+@pytest.mark.parametrize("exons", [False, True])
+def test_features_and_reads_travel_little(spark, exons):
+    """Nearly all reads travel once, not to each tile near them, and the parts of a tile get its features in bundles."""
+    rng = random.Random(13)
+    n, m = 4_000, 1_000
+    reads = [("s", f"B{rng.randint(0, 9)}", "1", [(s, s + 30)]) for s in rng.choices(range(25_000), k=n)]
+    regions = [("1", s, s + 400 + k % 300, f"gene-{k}" if k % 9 else None, [(s, s + 100), (s + 200, s + 400 + k % 300)]) for k, s in enumerate(rng.choices(range(25_000), k=m))]
+    x = spark.createDataFrame(reads, f"sample string, bc string, chrom string, blocks {BLOCKS}")
+    f = spark.createDataFrame(regions, f"chrom string, start bigint, end bigint, name string, exons {BLOCKS}")
+
+    def sent():
+        found = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(found.apply(k).shuffleWriteRecords() for k in range(found.size()))
+
+    before = sent()
+    got = {tuple(r)[:5]: r["count"] for r in counts.count_features(x, f, exons).collect()}
+    want = {}
+    for sample, bc, _, blocks in reads:
+        for c, s, e, name, parts in regions:
+            if k := sum(_meets(blocks, *p) for p in (parts if exons else [(s, e)])):
+                key = (f"{sample}::{bc}", c, s, e, name)
+                want[key] = want.get(key, 0) + k
+    assert got == want
+    assert sent() - before < 1.5 * n + m + 1_000
+
+
+def test_bundles_hold_what_they_were_made_of():
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    of = [("1", 8, 0)] * 20 + [("1", 8, 1)] * 3 + [("2", 8, 1)] * 16 + [("2", 128, 1)] * 15  # two tiles of at least BUNDLE
+    columns = {"chrom": pa.array([c for c, _, _ in of]), "step": pa.array([s for _, s, _ in of]), "tile": pa.array([t for _, _, t in of])}
+    columns |= {"start": pa.array([k if k % 7 else None for k in range(54)]), "end": pa.array(range(54)), "name": pa.array([f"g{k}" if k % 5 else None for k in range(54)])}
+    given = pa.RecordBatch.from_pydict(columns | {"blocks": pa.array([[{"start": k, "end": k + 5}] * (k % 4) for k in range(54)], kind)})
+    made = list(counts._bundled(iter([given, given.slice(0, 0)])))
+    assert sum(b.num_rows for b in made) == 3 + 15 + 2
+    got = [r for b in counts._opened(iter(made)) for r in b.to_pylist()]
+    key = lambda r: r["end"]
+    assert sorted(got, key=key) == given.to_pylist()
