@@ -267,3 +267,35 @@ def test_bundles_hold_what_they_were_made_of():
     got = [r for b in counts._opened(iter(made)) for r in b.to_pylist()]
     key = lambda r: r["end"]
     assert sorted(got, key=key) == given.to_pylist()
+
+
+@pytest.mark.parametrize("exons", [False, True])
+def test_full_cells_are_counted_by_ranks(monkeypatch, exons):
+    """Where a cell meets much of a tile its pairs are not looked at; spliced, empty and overlapping blocks count as ever."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    rng = random.Random(17)
+    one = lambda s: (s, s + rng.choice((1, 9, 60, 300)))
+    features = [[one(s), one(s + 5)] if exons else [one(s)] for s in sorted(rng.choices(range(400), k=90))]
+    tile = counts._Tile([], pa.array([[{"start": a, "end": z} for a, z in f] for f in features], kind))
+
+    def check(reads):
+        cells = np.array([c for c, _ in reads])
+        got, sums = tile.counts(cells, cells.max() + 1, pa.array([[{"start": a, "end": z} for a, z in b] for _, b in reads], kind))
+        want = {}
+        for c, b in reads:
+            for k, f in enumerate(features):
+                if n := sum(_meets(b, *e) for e in f):
+                    want[c * len(features) + k] = want.get(c * len(features) + k, 0) + n
+        assert dict(zip(got.tolist(), sums.tolist(), strict=True)) == want and (np.diff(got) > 0).all()
+
+    reads = [(c, b) for c in range(4) for b in _spliced(rng, 200 if c != 2 else 1, 400)]
+    reads += [(3, [(200, 260), (100, 400), (90, 110)]), (3, [(10, 60), (90, 95), (95, 120)]), (3, [])]
+    check([*reads, (4, [(200, 260), (300, 300), (250, 255)]), *[(4, b) for b in _spliced(rng, 200, 400)]])
+    some = counts._Tile._by_pairs
+
+    def few(self, start, *rest):
+        assert len(start) <= 3, "pairs of a full cell"
+        return some(self, start, *rest)
+
+    monkeypatch.setattr(counts._Tile, "_by_pairs", few)
+    check(reads)
