@@ -230,8 +230,8 @@ def test_exons_are_spread_out_by_spark(spark):
     assert [tuple(r) for r in out.collect()] == [("s::A", "1", 0, 10, "g", 2.0)]
 
 
-@pytest.mark.parametrize("exons", [False, True])
-def test_features_and_reads_travel_little(spark, exons):
+@pytest.mark.parametrize(("exons", "parts"), [(False, "4"), (True, "4"), (True, "64")])
+def test_features_and_reads_travel_little(spark, exons, parts):
     """Nearly all reads travel once, not to each tile near them, and the parts of a tile get its features in bundles."""
     rng = random.Random(13)
     n, m = 4_000, 1_000
@@ -245,7 +245,15 @@ def test_features_and_reads_travel_little(spark, exons):
         return sum(found.apply(k).shuffleWriteRecords() for k in range(found.size()))
 
     before = sent()
-    got = {tuple(r)[:5]: r["count"] for r in counts.count_features(x, f, exons).collect()}
+    conf = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {c: spark.conf.get(c) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        got = {tuple(r)[:5]: r["count"] for r in counts.count_features(x, f, exons).collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
     want = {}
     for sample, bc, _, blocks in reads:
         for c, s, e, name, parts in regions:
